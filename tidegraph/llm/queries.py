@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidegraph.llm import packing
+from tidegraph.llm import langid, packing
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -22,12 +23,24 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def fold(parts: int) -> Column:
+    """crc32 of the document's id as text, modulo the number of parts."""
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(4) != 2).select("text", "lang"))
+    rows = docs.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "text")
+    return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_packing": op7_packing}
+    return {"op3_language_id": op3_language_id, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
