@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import langid, packing
+from tidegraph.llm import langid, packing, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -35,12 +35,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scorer, held = toxicity.fitted(docs, docs.where(fold(5) != 0), _table(spark, sf_dir, "labels"))
+    rows = docs.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "text")
+    return toxicity.score(rows, scorer, held).drop("text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_language_id": op3_language_id, "op7_packing": op7_packing}
+    return {"op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
