@@ -128,3 +128,40 @@ def combine(hashes: np.ndarray) -> int:
         for x in hashes.tolist():
             h = mix(np.array([h], np.uint64) * _SPAN[1] + np.uint64(x))[0]
     return int(h)
+
+
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[48:58] = True
+ALNUM[97:123] = True
+ALNUM[128:] = True
+
+
+def fold_case(buf: np.ndarray) -> np.ndarray:
+    """A-Z and the Latin-1 capitals (C3 80 to C3 9E in UTF-8) as small letters, byte by byte."""
+    buf = LOWER[buf]
+    if len(buf) > 1:
+        buf[1:][(buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)] += 0x20
+    return buf
+
+
+def cores(w: Words, inside: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (start, end) of the words from their first to their last byte of the given kind, and which words have one."""
+    hit = inside[w.buf]
+    total = np.zeros(len(w.buf) + 1, np.int64)
+    np.cumsum(hit, out=total[1:])
+    places = np.flatnonzero(hit)
+    a, b = total[w.start], total[w.end]
+    has = np.flatnonzero(b > a)
+    return places[a[has]], places[b[has] - 1] + 1, has
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; spans do not overlap and are not empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    at = np.cumsum(size) - size
+    pos = np.arange(int(size.sum())) - np.repeat(at, size)
+    terms = _POSITION[pos % LONG_WORD]
+    terms *= buf[pos + np.repeat(start, size)].astype(np.uint64) + _U64(1)
+    return mix(np.add.reduceat(terms, at) + size.astype(np.uint64))
