@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, langid, packing, pii, toxicity
+from tidegraph.llm import decontamination, jaccard, langid, packing, pii, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -28,6 +28,10 @@ def fold(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), jaccard.Rule(words=4, over=85, under=100))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing, "op10_pii": op10_pii}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op7_packing": op7_packing, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
