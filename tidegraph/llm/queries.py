@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, jaccard, langid, packing, pii, substrings, toxicity
+from tidegraph.llm import decontamination, jaccard, langid, packing, pii, quality, substrings, topk, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -54,16 +54,26 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(_table(spark, sf_dir, "documents"))
 
 
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.search(vectors, vectors.where("id % 100 = 0"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.fit(docs)).drop("text")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op7_packing": op7_packing, "op10_pii": op10_pii}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
