@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import decontamination, jaccard, langid, packing, pii, quality, substrings, topk, toxicity
+from tidegraph.llm import chat, decontamination, jaccard, langid, packing, pii, quality, substrings, topk, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -63,6 +63,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+#: Tools whose calls op8 validates.
+TOOLS = {
+    "search": {"required": ["query"], "properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}},
+    "calculator": {"required": ["expression"], "properties": {"expression": {"type": "string"}}, "additional": False},
+}
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(_table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.fit(docs)).drop("text")
@@ -73,7 +84,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_quality": op9_quality, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
