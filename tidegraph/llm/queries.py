@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.llm import chat, decontamination, jaccard, langid, packing, pii, quality, substrings, topk, toxicity
+from tidegraph.llm.oracle import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -88,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
