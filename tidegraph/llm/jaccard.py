@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components
@@ -110,21 +110,21 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc, n, node (its class; null for an empty set) and the covering keys."""
+    """doc, tag (hash of the text), n, node (its class; null for an empty set) and the covering keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, node, keys, ends = [], [], [], [0]
-            for s in shingle_sets(b.column(1), rule.words):
+            for s in shingle_sets(b.column(2), rule.words):
                 n.append(len(s))
                 node.append(class_of(s) if len(s) else None)
                 k = rule.keys(s) if len(s) else s
                 keys.append(k)
                 ends.append(ends[-1] + len(k))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc", "tag", "n", "node", "keys"])
 
-    return docs.mapInArrow(run, "doc long, n long, node long, keys array<long>")
+    return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, node long, keys array<long>")
 
 
 def _candidates(sets: DataFrame) -> DataFrame:
@@ -327,40 +327,53 @@ def _large_regions(rows: DataFrame, rule: Rule, region: int, pivots: int) -> tup
     return links, cells.select("g", "node", "label", "text", F.explode(pairs).alias("x")).select("g", "x.i", "x.j", "node", "label", "text")
 
 
-def join(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
+def _first(doc: str = "doc", tag: str = "tag") -> Column:
+    """A document's place in the order of ids, a null id last."""
+    return F.struct(F.col(doc).isNull().alias("none"), F.col(doc).alias("doc"), F.col(tag).alias("tag"))
 
-    A null or empty text has no shingle and no link.  Rows that repeat an id are
-    separate documents; a null id is kept and counts as the largest.  An empty
-    table gives an empty result.  Other columns are ignored.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
+
+def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region: int, pivots: int) -> DataFrame:
+    """doc, tag, n and rep, the first document (none, doc, tag) of its component."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     sets = cut(_sets(docs, rule))
     groups = cut(components(_candidates(sets)).select("node", F.col("component").alias("g")))
-    classes = sets.where("node is not null").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    sized = cut(groups.join(classes, "node"))
+    classes = sets.where("node is not null").groupBy("node").agg(F.min(_first()).alias("first"), F.first("n").alias("n"))
+    sized = cut(groups.join(classes, "node").select("g", "node", "n", "first.none", "first.doc", "first.tag"))
     weight = cut(sized.groupBy("g").agg(F.sum("n").alias("size")))
-
     members = sized.join(weight.select("g", (F.col("size") > region).alias("large")), "g")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:  # an id that repeats may have other texts as well
-            node = [class_of(s) if len(s) else None for s in shingle_sets(b.column(4), rule.words)]
-            keep = pa.array([x == y for x, y in zip(b.column(1).to_pylist(), node)])
-            yield b.filter(keep)
-
-    rows = members.select("g", "node", "n", "large", "doc").join(docs, "doc").select("g", "node", "n", "large", "text").mapInArrow(check, "g long, node long, n long, large boolean, text string")
+    # an id and a text that repeat are one row here
+    own = docs.alias("d").join(members.alias("m"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.large", "d.text")
+    rows = own.dropDuplicates(["node"]) if weight.where(F.col("size") > region).isEmpty() else cut(own.dropDuplicates(["node"]))
+    one = rows.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text")
     if weight.where(F.col("size") > region).isEmpty():
-        one = rows.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text")
         links = _join_groups(one, rule)
     else:
-        rows = cut(rows.dropDuplicates(["node"]))
-        one = rows.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text")
         near, cells = _large_regions(rows.where("large"), rule, region, pivots)
         links = _join_groups(one.unionByName(cells), rule).unionByName(near)
     found = components(links)
-    named = found.join(classes.select("node", "doc"), "node")
-    smallest = named.groupBy("component").agg(F.min("doc").alias("id"))
-    linked = named.join(smallest, "component").select("node", "id")
-    of_class = classes.join(linked, "node", "left").select("node", F.coalesce("id", "doc").alias("component_id"))
-    return sets.select("doc", "n", "node").join(of_class, "node", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    named = found.join(classes.select("node", "first"), "node")
+    smallest = named.groupBy("component").agg(F.min("first").alias("rep"))
+    linked = named.join(smallest, "component").select("node", "rep")
+    of_class = classes.join(linked, "node", "left").select("node", F.coalesce("rep", "first").alias("rep"))
+    return sets.select("doc", "tag", "n", "node").join(of_class, "node", "left").select("doc", "tag", "n", F.coalesce("rep", _first()).alias("rep"))
+
+
+def join(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    A null or empty text has no shingle and no link.  Rows that repeat an id are
+    separate documents; a null id is kept and counts as the largest.  An empty
+    table gives an empty result.  Other columns are ignored.
+    """
+    rows = _components(docs, rule, id_col, text_col, region, pivots)
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep.doc").alias("component_id"))
+
+
+def representatives(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are the first of their component; of rows with one id and text one stays."""
+    rows = _components(docs, rule, id_col, text_col, region, pivots)
+    kept = rows.where(F.col("rep").eqNullSafe(_first())).select(F.col("doc").alias("_kept_doc"), F.col("tag").alias("_kept_tag")).distinct()
+    tagged = docs.withColumns({"_own_doc": F.col(id_col).cast("long"), "_own_tag": F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col("_own_doc").eqNullSafe(F.col("_kept_doc")) & (F.col("_own_tag") == F.col("_kept_tag"))
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["_own_doc", "_own_tag"]).select(*docs.columns)
