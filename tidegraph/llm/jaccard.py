@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components
-from tidegraph.llm.lineage import cut
+from tidegraph.llm.lineage import cut, release
 from tidegraph.llm.textkit import Words, chunks, combine, mix
 
 _U64 = np.uint64
@@ -37,6 +37,8 @@ _U64 = np.uint64
 REGION, PIVOTS = 3_000_000, 8
 #: Sets of a cell that is joined without further pivots.
 LEAF = 96
+#: Buckets of keys that a shuffle partition works through one by one.
+BUCKETS_EACH = 4
 GROWTH = 1.3
 
 
@@ -110,80 +112,108 @@ def class_of(shingles: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc, tag (hash of the text), n, node (its class; null for an empty set) and the covering keys."""
+    """doc, tag (hash of the text), n and node (its class; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, keys, ends = [], [], [], [0]
+            n, node = [], []
             for s in shingle_sets(b.column(2), rule.words):
                 n.append(len(s))
                 node.append(class_of(s) if len(s) else None)
-                k = rule.keys(s) if len(s) else s
-                keys.append(k)
-                ends.append(ends[-1] + len(k))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc", "tag", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc", "tag", "n", "node"])
 
-    return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, node long, keys array<long>")
+    return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, node long")
 
 
-def _candidates(sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all classes that share a key.
+def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Edges (a, b) that connect all classes that share a covering key.
 
-    Each task first connects its own rows, so a key is shuffled once a task.
+    Each task first connects its own rows, so a key is shuffled once a batch; the
+    keys of a batch for one bucket travel packed together.
     """
+    import zstandard
+
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions * BUCKETS_EACH
+
+    def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows in order of key and node, where a key begins, and the first node of each row's key."""
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        return key, node, node[np.flatnonzero(new)][np.cumsum(new) - 1]
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        squeeze = zstandard.ZstdCompressor(level=1)
+        held: list[tuple[np.ndarray, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
-            if held:
-                key, node = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((node, key))
-                key, node = key[order], node[order]
-                new = np.r_[True, key[1:] != key[:-1]]
-                lead = node[np.flatnonzero(new)][np.cumsum(new) - 1]
-                yield from _edges(node[node != lead], lead[node != lead])
-                yield pa.RecordBatch.from_pydict({"key": key[new], "a": node[new], "b": pa.nulls(int(new.sum()), pa.int64())})
+            if not size:
+                return
+            key = np.concatenate([k for k, _ in held])
+            node = np.repeat(np.array([x for _, x in held]), [len(k) for k, _ in held])
             held.clear()
             size = 0
-
-        def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(a):
-                pairs = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_pydict({"key": pairs[:, 0], "a": pairs[:, 0], "b": pairs[:, 1]})
+            key, node, lead = stars(key, node)
+            pairs = np.unique(np.stack([node[node != lead], lead[node != lead]], 1), axis=0)
+            if len(pairs):
+                bucket = (mix(pairs[:, 1].view(np.uint64)) % _U64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["bucket", "a", "b", "pack"])
+            new = np.r_[True, key[1:] != key[:-1]]
+            key, node = key[new], node[new]
+            bucket = ((key >> _U64(32)) * _U64(buckets) >> _U64(32)).astype(np.int32)
+            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            packs = []
+            for i, j in zip(edges, np.r_[edges[1:], len(bucket)]):
+                # steps between sorted keys, byte by byte, so that their empty high bytes vanish
+                steps = np.diff(key[i:j], prepend=_U64(0)).view(np.uint8).reshape(-1, 8).T
+                packs.append(squeeze.compress(np.ascontiguousarray(steps).tobytes() + node[i:j].tobytes()))
+            none = pa.nulls(len(packs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), none, none, pa.array(packs, pa.binary())], names=["bucket", "a", "b", "pack"])
 
         for b in batches:
-            keys = b.column(1)
-            held.append((keys.flatten().to_numpy(), np.repeat(b.column(0).to_numpy(), keys.value_lengths().to_numpy())))
-            size += len(held[-1][0])
-            if size > 4_000_000:
-                yield from flush()
+            for s in shingle_sets(b.column(0), rule.words):
+                if len(s):
+                    k = rule.keys(s)
+                    held.append((k, class_of(s)))
+                    size += len(k)
+                    if size > 4_000_000:
+                        yield from flush()
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead = None, None
-        for batch in batches:
-            key, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            b = batch.column(2)
-            known = b.is_valid().to_numpy(zero_copy_only=False)
-            pairs = [np.stack([a[known], b.filter(b.is_valid()).to_numpy()], 1)]
-            key, a = key[~known], a[~known]
-            if len(key):
-                new = np.r_[last is None or key[0] != last, key[1:] != key[:-1]]
-                group = np.cumsum(new)
-                leads = np.r_[lead if lead is not None else 0, a[new]]
-                own = leads[group]
-                other = a != own
-                pairs.append(np.stack([a[other], own[other]], 1))
-                last, lead = key[-1], own[-1]
-            found = np.unique(np.concatenate(pairs), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": found[:, 0], "b": found[:, 1]})
-
-    rows = sets.where("node is not null").select("node", "keys").mapInArrow(local, "key long, a long, b long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+        expand = zstandard.ZstdDecompressor()
+
+        def solve(packs: list[bytes]) -> pa.RecordBatch:
+            keys, nodes = [], []
+            for raw in map(expand.decompress, packs):
+                n = len(raw) // 16
+                steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view(np.uint64)
+                keys.append(np.cumsum(steps, dtype=np.uint64))
+                nodes.append(np.frombuffer(raw, np.int64, n, 8 * n))
+            _, node, lead = stars(np.concatenate(keys), np.concatenate(nodes))
+            pairs = np.unique(np.stack([node[node != lead], lead[node != lead]], 1), axis=0)
+            return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+        now, packs = None, []
+        for b in batches:
+            known = b.filter(b.column(1).is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], names=["a", "b"])
+            rest = b.filter(b.column(3).is_valid())
+            for bucket, pack in zip(rest.column(0).to_pylist(), rest.column(3).to_pylist()):
+                if bucket != now and packs:
+                    yield solve(packs)
+                    packs = []
+                now = bucket
+                packs.append(pack)
+        if packs:
+            yield solve(packs)
+
+    rows = docs.select("text").mapInArrow(local, "bucket int, a long, b long, pack binary")
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 class Forest:
@@ -336,10 +366,11 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region:
     """doc, tag, n and rep, the first document (none, doc, tag) of its component."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     sets = cut(_sets(docs, rule))
-    groups = cut(components(_candidates(sets)).select("node", F.col("component").alias("g")))
+    groups = cut(components(_candidates(docs, rule)).select("node", F.col("component").alias("g")))
     classes = sets.where("node is not null").groupBy("node").agg(F.min(_first()).alias("first"), F.first("n").alias("n"))
     sized = cut(groups.join(classes, "node").select("g", "node", "n", "first.none", "first.doc", "first.tag"))
     weight = cut(sized.groupBy("g").agg(F.sum("n").alias("size")))
+    release(docs.sparkSession)
     members = sized.join(weight.select("g", (F.col("size") > region).alias("large")), "g")
 
     # an id and a text that repeat are one row here

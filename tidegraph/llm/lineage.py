@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
