@@ -8,9 +8,13 @@
    regions; classes in different regions cannot link.  (Unrelated texts are all
    at distance 1 from any pivot, so pivots alone would put every document into
    every window.)
+   A region that is too large for a task, because its texts share common lines, is
+   covered anew by its rarest shingles, counted over the region.
 3. A region is a metric space.  Pivots cut it into Voronoi cells; a class goes to
-   its nearest pivot's cell and also to the cells whose pivot is at most twice the
-   threshold farther (triangle inequality), so two linked classes always meet.
+   its nearest pivot's cell if that is within a radius, else to the outer cell, and
+   also to the cells of pivots within the radius and the threshold that are at most
+   twice the threshold farther (triangle inequality), so two linked classes always
+   meet and a class far from all pivots is in one cell.
    Cells join recursively; classes that are connected already are not compared
    again, and small cells are joined over their rarest shingles.
 
@@ -34,7 +38,9 @@ from tidegraph.llm.textkit import Words, chunks, combine, mix
 
 _U64 = np.uint64
 #: Shingles of a region that one task joins at most, and pivots of a larger one.
-REGION, PIVOTS = 3_000_000, 8
+REGION, PIVOTS = 6_000_000, 8
+#: Radius of a pivot's cell.
+RADIUS = 0.5
 #: Sets of a cell that is joined without further pivots.
 LEAF = 96
 #: Buckets of keys that a shuffle partition works through one by one.
@@ -241,17 +247,16 @@ class Region:
 
     def __init__(self, sets: list[np.ndarray], rule: Rule, labels: list[int] | None = None):
         self.arrays, self.rule = sets, rule
-        self.sets = [set(s.tolist()) for s in sets]
         self.forest = Forest(labels if labels is not None else list(range(len(sets))))
         self.links: list[tuple[int, int]] = []
-        self.window = 2 * (rule.under - rule.over) / rule.under + 1e-9
+        self.least = (rule.under - rule.over) / rule.under + 1e-9
 
     def common(self, a: int, b: int) -> int:
-        return len(self.sets[a] & self.sets[b])
+        return len(np.intersect1d(self.arrays[a], self.arrays[b], assume_unique=True))
 
     def try_link(self, a: int, b: int) -> float:
         """Distance of two sets; links them if it is small enough."""
-        c, na, nb = self.common(a, b), len(self.sets[a]), len(self.sets[b])
+        c, na, nb = self.common(a, b), len(self.arrays[a]), len(self.arrays[b])
         if self.rule.linked(c, na, nb) and self.forest.root(a) != self.forest.root(b):
             self.links.append((a, b))
             self.forest.join(a, b)
@@ -267,12 +272,14 @@ class Region:
         far = [[0.0 if x == p else self.try_link(x, p) for p in pivots] for x in members]
         if len({self.forest.root(x) for x in members}) < 2:
             return
-        cells: list[list[int]] = [[] for _ in pivots]
+        cells: list[list[int]] = [[] for _ in range(len(pivots) + 1)]
         for x, d in zip(members, far):
             near = min(d)
             for k, v in enumerate(d):
-                if v <= near + self.window:
+                if v <= min(near + 2 * self.least, RADIUS + self.least):
                     cells[k].append(x)
+            if near > RADIUS:
+                cells[-1].append(x)
         if max(map(len, cells)) > 0.8 * len(members):
             return self.leaf(members)
         for cell in cells:
@@ -318,6 +325,30 @@ def _join_groups(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.select(*keys, "node", "label", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
 
 
+def _refined(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(node, part): regions beyond the bound are covered anew by the rarest shingles of each set, as counted in its region.
+
+    Linked sets of n shingles share one of the first n - ceil(least * n) + 1 in any
+    order that is the same for the region.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                c = b.slice(i, 256)
+                sets = list(shingle_sets(c.column(3), rule.words))
+                size = np.array([len(s) for s in sets])
+                yield pa.RecordBatch.from_pydict({"g": np.repeat(c.column(0).to_numpy(), size), "node": np.repeat(c.column(1).to_numpy(), size), "n": np.repeat(c.column(2).to_numpy(), size), "s": np.concatenate(sets).view(np.int64)})
+
+    each = rows.select("g", "node", "n", "text").mapInArrow(spread, "g long, node long, n long, s long")
+    often = each.groupBy("g", "s").agg(F.count("*").alias("df"))
+    ranked = each.join(often, ["g", "s"]).groupBy("g", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
+    first = (F.col("n") - F.ceil(F.lit(rule.over) * F.col("n") / rule.under) + 1).cast("int")
+    keys = ranked.select("g", "node", F.explode(F.slice("order", 1, first)).alias("x")).where("x.df > 1").select("g", "node", "x.s")
+    lead = keys.groupBy("g", "s").agg(F.min("node").alias("b"))
+    return components(keys.join(lead, ["g", "s"]).select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("part"))
+
+
 def _large_regions(rows: DataFrame, rule: Rule, region: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Of regions beyond the bound: the links to pivots, and the rows of cells and pairs of blocks that are left to join."""
     salt = F.pmod(F.xxhash64("node"), F.lit(pivots))
@@ -347,9 +378,10 @@ def _large_regions(rows: DataFrame, rule: Rule, region: int, pivots: int) -> tup
     label = components(links)
     rows = rows.join(label.select("node", F.col("component").alias("joined")), "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
     near = far.groupBy("g", "node").agg(F.min("d").alias("near"))
-    window = 2 * (rule.under - rule.over) / rule.under + 1e-9
-    cells = far.join(near, ["g", "node"]).where(F.col("d") <= F.col("near") + window).select("node", F.col("pivot").alias("g"))
-    cells = cells.join(rows.drop("g"), "node")
+    least = (rule.under - rule.over) / rule.under + 1e-9
+    inner = far.join(near, ["g", "node"]).where(F.col("d") <= F.least(F.col("near") + 2 * least, F.lit(RADIUS + least))).select("node", F.col("pivot").alias("cell"))
+    outer = near.where(F.col("near") > RADIUS).select("node", F.xxhash64("g", F.lit("outer")).alias("cell"))
+    cells = inner.unionByName(outer).join(rows.drop("g"), "node").withColumnRenamed("cell", "g")
     state = cells.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("n").alias("size")).where("l0 <> l1")
     cells = cells.join(state.select("g", F.ceil(2 * F.col("size") / region).cast("int").alias("blocks")), "g")
     cells = cells.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
@@ -375,13 +407,22 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region:
 
     # an id and a text that repeat are one row here
     own = docs.alias("d").join(members.alias("m"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.large", "d.text")
-    rows = own.dropDuplicates(["node"]) if weight.where(F.col("size") > region).isEmpty() else cut(own.dropDuplicates(["node"]))
+    small = weight.where(F.col("size") > region).isEmpty()
+    rows = own.dropDuplicates(["node"]) if small else cut(own.dropDuplicates(["node"]))
     one = rows.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text")
-    if weight.where(F.col("size") > region).isEmpty():
+    if small:
         links = _join_groups(one, rule)
     else:
-        near, cells = _large_regions(rows.where("large"), rule, region, pivots)
-        links = _join_groups(one.unionByName(cells), rule).unionByName(near)
+        wide = rows.where("large").drop("large")
+        wide = cut(wide.join(_refined(wide, rule), "node").drop("g").withColumnRenamed("part", "g"))
+        still = wide.groupBy("g").agg((F.sum("n") > region).alias("large"))
+        wide = wide.join(still, "g")
+        one = one.unionByName(wide.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text"))
+        if still.where("large").isEmpty():
+            links = _join_groups(one, rule)
+        else:
+            near, cells = _large_regions(wide.where("large").drop("large"), rule, region, pivots)
+            links = _join_groups(one.unionByName(cells), rule).unionByName(near)
     found = components(links)
     named = found.join(classes.select("node", "first"), "node")
     smallest = named.groupBy("component").agg(F.min("first").alias("rep"))
