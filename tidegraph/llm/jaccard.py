@@ -3,9 +3,9 @@
 1. Documents with the same set of shingles are one class.
 2. Classes that may link are brought together by an exact covering: the shingle
    space is cut into parts by hash, more parts than two linked sets can differ in,
-   so that linked sets agree on one part at least.  Classes that share a part's
-   content are candidates, and the components of candidates are the first
-   regions; classes in different regions cannot link.  (Unrelated texts are all
+   so that linked sets agree on some parts.  Classes that share a part's
+   content are candidates, unless one of them shares fewer parts with all others
+   than linked sets must, and the components of candidates are the first regions; classes in different regions cannot link.  (Unrelated texts are all
    at distance 1 from any pivot, so pivots alone would put every document into
    every window.)
    A region that is too large for a task, because its texts share common lines, is
@@ -69,28 +69,33 @@ class Rule:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.low, n, "right")) - 1
 
-    def keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Covering keys of a sorted set: its first parts that are not empty, for each size class of a partner that is no smaller."""
+    def keys(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Covering keys of a sorted set, its parts that are not empty, for each size class of a partner that is no smaller.
+
+        With each key goes the size class and how many of that class's keys a linked
+        partner must share: the set's parts less the most that can differ.
+        """
         n = len(shingles)
         most = n * self.under // self.over
-        out: list[np.ndarray] = []
+        out: list[np.ndarray] = [np.zeros(0, np.uint64)]
+        need: list[np.ndarray] = [np.zeros(0, np.int32)]
         scrambled = mix(shingles ^ _U64(0x5BD1E995))
         for c in range(self.size_class(n), self.size_class(most) + 1):
             top = self.low[c + 1] - 1
-            need = self.differ(n, min(top, most)) + 1
+            differ = self.differ(n, min(top, most))
             widest = self.differ(top, top) + 1
             if widest == 1:
                 continue  # only equal sets link, and those are one class
             parts = -(-widest * 5 // 4) + 1
             part = ((shingles >> _U64(32)) * _U64(parts)) >> _U64(32)
             first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums = np.add.reduceat(scrambled, first)
-            tag = part[first] + _U64(c << 44)
-            keys = mix(sums + mix(tag))[:need]
+            keys = mix(np.add.reduceat(scrambled, first) + mix(part[first] + _U64(c << 44)))
+            least = max(0, len(first) - differ)
+            if not least:  # so few parts that all may differ: such sets also meet by class
+                keys = np.r_[keys, mix(np.array([0xABCDEF + c], np.uint64))]
             out.append(keys)
-            if len(first) < need:
-                out.append(mix(np.array([0xABCDEF + c], np.uint64)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            need.append(np.full(len(keys), c << 16 | min(least, 65535), np.int32))
+        return np.concatenate(out), np.concatenate(need)
 
 
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -131,59 +136,62 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, node long")
 
 
-def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Edges (a, b) that connect all classes that share a covering key.
+def _shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(key, node, need) of the covering keys that several classes have; rows may repeat.
 
-    Each task first connects its own rows, so a key is shuffled once a batch; the
-    keys of a batch for one bucket travel packed together.
+    A task settles the keys that it sees more than once itself and sends each key
+    once a batch; the keys of a batch for one bucket travel packed together.
     """
     import zstandard
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = partitions * BUCKETS_EACH
+    names = ["bucket", "key", "node", "need", "pack"]
 
-    def stars(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Rows in order of key and node, where a key begins, and the first node of each row's key."""
+    def grouped(key: np.ndarray, node: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Rows in order, each (key, node) once, where a key begins, and which keys have several nodes."""
         order = np.lexsort((node, key))
-        key, node = key[order], node[order]
+        key, node, need = key[order], node[order], need[order]
+        one = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node, need = key[one], node[one], need[one]
         new = np.r_[True, key[1:] != key[:-1]]
-        return key, node, node[np.flatnonzero(new)][np.cumsum(new) - 1]
+        size = np.diff(np.r_[np.flatnonzero(new), len(key)])
+        return key, node, need, new, np.repeat(size > 1, size)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, int]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             if not size:
                 return
-            key = np.concatenate([k for k, _ in held])
-            node = np.repeat(np.array([x for _, x in held]), [len(k) for k, _ in held])
+            key, need = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+            node = np.repeat(np.array([h[2] for h in held]), [len(h[0]) for h in held])
             held.clear()
             size = 0
-            key, node, lead = stars(key, node)
-            pairs = np.unique(np.stack([node[node != lead], lead[node != lead]], 1), axis=0)
-            if len(pairs):
-                bucket = (mix(pairs[:, 1].view(np.uint64)) % _U64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(len(pairs), pa.binary())], names=["bucket", "a", "b", "pack"])
-            new = np.r_[True, key[1:] != key[:-1]]
-            key, node = key[new], node[new]
+            key, node, need, new, several = grouped(key, node, need)
+            n = int(several.sum())
+            if n:
+                bucket = (mix(node[several].view(np.uint64)) % _U64(buckets)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key[several].view(np.int64)), pa.array(node[several]), pa.array(need[several]), pa.nulls(n, pa.binary())], names=names)
+            key, node, need = key[new], node[new], need[new]
             bucket = ((key >> _U64(32)) * _U64(buckets) >> _U64(32)).astype(np.int32)
             edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             packs = []
             for i, j in zip(edges, np.r_[edges[1:], len(bucket)]):
                 # steps between sorted keys, byte by byte, so that their empty high bytes vanish
                 steps = np.diff(key[i:j], prepend=_U64(0)).view(np.uint8).reshape(-1, 8).T
-                packs.append(squeeze.compress(np.ascontiguousarray(steps).tobytes() + node[i:j].tobytes()))
+                packs.append(squeeze.compress(np.ascontiguousarray(steps).tobytes() + node[i:j].tobytes() + need[i:j].tobytes()))
             none = pa.nulls(len(packs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), none, none, pa.array(packs, pa.binary())], names=["bucket", "a", "b", "pack"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges]), none, none, pa.nulls(len(packs), pa.int32()), pa.array(packs, pa.binary())], names=names)
 
         for b in batches:
             for s in shingle_sets(b.column(0), rule.words):
                 if len(s):
-                    k = rule.keys(s)
-                    held.append((k, class_of(s)))
+                    k, need = rule.keys(s)
+                    held.append((k, need, class_of(s)))
                     size += len(k)
                     if size > 4_000_000:
                         yield from flush()
@@ -193,23 +201,23 @@ def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
         expand = zstandard.ZstdDecompressor()
 
         def solve(packs: list[bytes]) -> pa.RecordBatch:
-            keys, nodes = [], []
+            keys, nodes, needs = [], [], []
             for raw in map(expand.decompress, packs):
-                n = len(raw) // 16
+                n = len(raw) // 20
                 steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view(np.uint64)
                 keys.append(np.cumsum(steps, dtype=np.uint64))
                 nodes.append(np.frombuffer(raw, np.int64, n, 8 * n))
-            _, node, lead = stars(np.concatenate(keys), np.concatenate(nodes))
-            pairs = np.unique(np.stack([node[node != lead], lead[node != lead]], 1), axis=0)
-            return pa.RecordBatch.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+                needs.append(np.frombuffer(raw, np.int32, n, 16 * n))
+            key, node, need, _, several = grouped(np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs))
+            return pa.RecordBatch.from_arrays([pa.array(key[several].view(np.int64)), pa.array(node[several]), pa.array(need[several])], names=names[1:4])
 
         now, packs = None, []
         for b in batches:
             known = b.filter(b.column(1).is_valid())
             if known.num_rows:
-                yield pa.RecordBatch.from_arrays([known.column(1), known.column(2)], names=["a", "b"])
-            rest = b.filter(b.column(3).is_valid())
-            for bucket, pack in zip(rest.column(0).to_pylist(), rest.column(3).to_pylist()):
+                yield pa.RecordBatch.from_arrays(known.columns[1:4], names=names[1:4])
+            rest = b.filter(b.column(4).is_valid())
+            for bucket, pack in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist()):
                 if bucket != now and packs:
                     yield solve(packs)
                     packs = []
@@ -218,8 +226,25 @@ def _candidates(docs: DataFrame, rule: Rule) -> DataFrame:
         if packs:
             yield solve(packs)
 
-    rows = docs.select("text").mapInArrow(local, "bucket int, a long, b long, pack binary")
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
+    rows = docs.select("text").mapInArrow(local, "bucket int, key long, node long, need int, pack binary")
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, node long, need int")
+
+
+def _candidates(docs: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
+    """Edges (a, b) that connect all classes that may link.
+
+    A class that shares fewer keys of a size class than a linked partner must
+    share has no partner there and leaves, and with it keys that no other class
+    has any more; common lines and passages alone do not connect texts.
+    """
+    rows = cut(_shared_keys(docs, rule).distinct())
+    for _ in range(rounds):
+        enough = rows.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND(F.lit(65535)))
+        rows = rows.join(enough.select("node", "need"), ["node", "need"], "left_semi")
+        lead = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b <> z")
+        rows = cut(rows.join(lead, "key").select("key", "node", "need", "b"))
+        pairs, rows = rows.select(F.col("node").alias("a"), "b"), rows.drop("b")
+    return pairs.where("a <> b").distinct()
 
 
 class Forest:
