@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lineage import cut
+from tidegraph.llm.lineage import cut, release
 from tidegraph.llm.textkit import Words, chunks, mix
 
 WINDOW, MINIMISER = 13, 3
@@ -232,6 +232,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("needs 1 <= minimiser <= window <= 256")
     part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     spans = cut(repeated_spans(part, window=window, minimiser=minimiser, batch_bytes=batch_bytes))
+    release(docs.sparkSession)  # the packed super-k-mers
     # twice the same span can come from two batches
     lists = spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
