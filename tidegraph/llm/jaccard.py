@@ -193,7 +193,7 @@ def _shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
                     k, need = rule.keys(s)
                     held.append((k, need, class_of(s)))
                     size += len(k)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield from flush()
         yield from flush()
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer document forms a chunk alone).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Words up to this many bytes are hashed position by position.
 LONG_WORD = 1 << 14
 
