@@ -133,6 +133,28 @@ def test_code_lengths_by_definition(spark):
             assert got[0, k] == pytest.approx(ppm_length([t for _, t, x in docs if x == lang and t], text, model.base), abs=0.02)
 
 
+def test_large_alphabets_keep_the_contexts():
+    """All 64 continuation bytes in four languages, and forty languages: contexts stay at three bytes."""
+    wide = "".join(map(chr, range(0x400, 0x440))) + "の\U0001f600 abcdefghijklmnopqrstuvwxyz"
+    for languages in (4, 40):
+        texts = [[f"{wide} thab{x}", f"{x}qu{x} abc the thaw"] for x in (chr(97 + k % 26) * (1 + k // 26) for k in range(languages))]
+        code, n, cls = [], [], []
+        for k, own in enumerate(texts):
+            for t in own:
+                s = [0, 0, 0, *_symbols(t)]
+                c = [sum(x * bytegrams.SYMBOLS ** (3 - j) for j, x in enumerate(s[i - 3 : i + 1])) for i in range(3, len(s))]
+                code += c
+                cls += [k] * len(c)
+        model = langid.PpmModel([f"l{k:02}" for k in range(languages)], np.array(code), np.ones(len(code), np.int64), np.array(cls))
+        assert model.order == 3 and model.base > 64
+        for text in ("thabc", "the q\U0001f600 я", "zz abd"):
+            ((_, _, buf, offsets),) = textkit.chunks(pa.array([text]))
+            for _ in range(2):  # the second from the lengths at hand
+                got, _ = model.lengths(buf, offsets)
+                for k, own in enumerate(texts):
+                    assert got[0, k] == pytest.approx(ppm_length(own, text, model.base), abs=0.02)
+
+
 def test_language_ids(spark):
     learn = spark.createDataFrame([("the of and this that with", "en"), ("der die das und nicht mit", "de")], "text string, lang string")
     model = langid.train(learn)

@@ -4,9 +4,9 @@ Training counts byte contexts of length 0 to 3 for each language over all its
 documents.  A byte is coded in its longest context; where it was not seen there,
 the coder pays the escape (method C: distinct followers against all followers)
 and drops to the next shorter context, at last to equal shares.  The counts are
-frozen, so the code length of a byte in a context is a constant: the trees are
-compiled into one table of code lengths, and a document's code length under each
-language is a sum of look-ups over the whole text.
+frozen, so the code length of a byte in a context is a constant: the trees hold
+the code lengths of the seen grams in sorted order, and a document's code length
+under each language is a sum of look-ups over the whole text.
 """
 
 from __future__ import annotations
@@ -24,43 +24,108 @@ from tidegraph.llm.textkit import chunks
 
 #: Code lengths are kept in so many parts of a nat.
 PARTS = 2048
-#: Entries of the compiled table; with more symbols and languages the contexts get shorter.
-TABLE_ENTRIES = 1 << 26
+#: Code lengths that a worker keeps at hand.
+CACHE = 1 << 23
 #: Most frequent 4-grams that the model keeps.
 MODEL_GRAMS = 4_000_000
 
 
+class Tree:
+    """Contexts of one length in one language: sorted codes with code lengths in 1/PARTS nat."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, base: int):
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], n[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        code, n = code[first], np.add.reduceat(n, first).astype(float)
+        context = code // base
+        at = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        kinds = np.diff(np.r_[at, len(code)]).astype(float)
+        total = np.add.reduceat(n, at) + kinds
+        self.grams, self.contexts = code.astype(np.int32), context[at].astype(np.int32)
+        self.coded = np.minimum(np.rint(np.log(np.repeat(total, kinds.astype(np.int64)) / n) * PARTS), 65535).astype(np.uint16)
+        self.escape = np.minimum(np.rint(np.log(total / kinds) * PARTS), 65535).astype(np.uint16)
+
+
+def _find(keys: np.ndarray, sought: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sought in the sorted keys, and whether they are there."""
+    at = np.minimum(np.searchsorted(keys, sought), len(keys) - 1)
+    return at, keys[at] == sought
+
+
 class PpmModel:
-    """Compiled context trees; ``table[context and byte][language]``."""
+    """Context trees, kept sparsely: ``trees[language][length of the context]``.
+
+    Six bytes for each seen gram, whatever the alphabet; a gram that was not seen
+    is found by its escapes.
+    """
+
+    order = ORDER
 
     def __init__(self, languages: list[str], code: np.ndarray, n: np.ndarray, cls: np.ndarray):
         self.languages = languages
-        digits = np.stack([code // SYMBOLS**k % SYMBOLS for k in range(ORDER, -1, -1)])
-        seen = np.unique(digits)
+        seen = np.unique(code // SYMBOLS**ORDER)
+        for k in range(ORDER):
+            seen = np.union1d(seen, np.unique(code // SYMBOLS**k % SYMBOLS))
         self.alphabet = np.full(SYMBOLS, len(seen), dtype=np.int64)  # the last is for bytes not seen in training
         self.alphabet[seen] = np.arange(len(seen))
         a = self.base = len(seen) + 1
-        self.order = ORDER
-        while self.order and a ** (self.order + 1) * len(languages) > TABLE_ENTRIES:
-            self.order -= 1
-        d = self.alphabet[digits][ORDER - self.order :]
-        self.table = np.empty((a ** (self.order + 1), len(languages)), dtype=np.uint16)
-        self.prior = np.zeros(len(languages))
-        totals = np.array([n[cls == k].sum() for k in range(len(languages))], dtype=float)
+        self.trees: list[list[Tree]] = []
+        totals = np.zeros(len(languages))
         for k in range(len(languages)):
             own = cls == k
-            p = np.full(a, 1.0 / a)
-            for depth in range(self.order + 1):
-                at = np.zeros(int(own.sum()), dtype=np.int64)
-                for x in d[self.order - depth :, own]:
-                    at = at * a + x
-                counts = np.bincount(at, weights=n[own], minlength=a ** (depth + 1)).astype(np.float32).reshape(-1, a)
-                total, kinds = counts.sum(1), (counts > 0).sum(1).astype(np.float32)
-                escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1).astype(np.float32)
-                shorter = np.broadcast_to(p.reshape(1, -1, a).astype(np.float32), (max(1, len(counts) * a // p.size), p.size // a, a)).reshape(-1, a)
-                p = np.where(counts > 0, counts / np.maximum(total + kinds, 1)[:, None], escape[:, None] * shorter).reshape(-1)
-            self.table[:, k] = np.minimum(np.rint(-np.log(p) * PARTS), 65535)
-            self.prior[k] = -np.log(totals[k] / totals.sum())
+            there, count = code[own], n[own]
+            compact = np.zeros(len(there), np.int64)
+            for x in range(ORDER, -1, -1):
+                compact = compact * a + self.alphabet[there // SYMBOLS**x % SYMBOLS]
+            self.trees.append([Tree(compact % a ** (depth + 1), count, a) for depth in range(ORDER + 1)])
+            totals[k] = count.sum()
+        self.prior = -np.log(totals / totals.sum())
+        self._forget()
+
+    def _forget(self) -> None:
+        self._codes = np.zeros(0, np.int32)
+        self._costs = np.zeros((0, len(self.languages)), np.int32)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_codes", "_costs")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._forget()
+
+    def costs(self, code: np.ndarray) -> np.ndarray:
+        """Code length in 1/PARTS nat of the last symbol of each compact gram under each language."""
+        out = np.zeros((len(code), len(self.languages)), np.int32)
+        for k, trees in enumerate(self.trees):
+            left, key = np.arange(len(code)), code.astype(np.int32)
+            for depth in range(ORDER, -1, -1):
+                tree = trees[depth]
+                key = key % np.int32(self.base ** (depth + 1))
+                at, there = _find(tree.grams, key)
+                out[left[there], k] += tree.coded[at[there]]
+                left, key = left[~there], key[~there]
+                at, there = _find(tree.contexts, key // np.int32(self.base))
+                out[left[there], k] += tree.escape[at[there]]
+            out[left, k] += np.int32(np.rint(np.log(self.base) * PARTS))
+        return out
+
+    def _held(self, code: np.ndarray) -> np.ndarray:
+        """``costs`` of sorted distinct grams, with those of earlier chunks at hand."""
+        if len(self._codes):
+            at, there = _find(self._codes, code)
+        else:
+            at, there = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        new = code[~there]
+        fresh = self.costs(new)
+        out = np.empty((len(code), len(self.languages)), np.int32)
+        out[there], out[~there] = self._costs[at[there]], fresh
+        if len(new):
+            if self._costs.size > CACHE:
+                self._forget()
+            put = np.searchsorted(self._codes, new)
+            self._codes, self._costs = np.insert(self._codes, put, new), np.insert(self._costs, put, fresh, axis=0)
+        return out
 
     def lengths(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code length in nats of each document under each language, and whether it has an ASCII letter."""
@@ -69,15 +134,11 @@ class PpmModel:
         np.cumsum((symbols > 0) & (symbols < 27), out=letters[1:])
         bounds = np.r_[0, np.cumsum(counts + ORDER)]
         out = np.zeros((len(counts), len(self.languages)))
-        compact = self.alphabet[symbols]
-        code = np.zeros(len(places), dtype=np.int64)
-        for j in range(self.order, -1, -1):
-            code *= self.base
-            code += compact[places - j]
         full = np.flatnonzero(counts)
         if len(full):
+            code, of = np.unique(bytegrams.grams(self.alphabet[symbols], places, self.base).astype(np.int32), return_inverse=True)
             first = (np.cumsum(counts) - counts)[full]
-            out[full] = np.add.reduceat(self.table[code], first, axis=0, dtype=np.int64) / PARTS
+            out[full] = np.add.reduceat(self._held(code)[of], first, axis=0, dtype=np.int64) / PARTS
         return out, np.diff(letters[bounds]) > 0
 
 

@@ -50,6 +50,7 @@ class Decoder:
     def __init__(self, model: PpmModel | None):
         self.model = model
         self.known: dict[str, str] = {}
+        self.costs: dict[int, float] = {}
 
     def restore(self, token: str) -> str:
         """The likeliest plain words, separated by blanks."""
@@ -62,6 +63,15 @@ class Decoder:
             got = self.known[token] = self._viterbi(token)
         return got
 
+    def _cost(self, gram: int) -> float:
+        """Code length in nats of the last symbol of a gram."""
+        got = self.costs.get(gram)
+        if got is None:
+            if len(self.costs) > CACHE:
+                self.costs.clear()
+            got = self.costs[gram] = float(self.model.costs(np.array([gram], np.int32))[0, 0]) / PARTS
+        return got
+
     def _options(self, token: str) -> Iterator[list[tuple[str, float]]]:
         i = 0
         while i < len(token):
@@ -81,7 +91,6 @@ class Decoder:
     def _viterbi(self, token: str) -> str:
         m = self.model
         order, base, alphabet = m.order, m.base, m.alphabet
-        cost_of = m.table[:, 0]
         blank = int(alphabet[0])
         mod = base**order
         start = 0
@@ -97,7 +106,7 @@ class Decoder:
                         if s == 0 and state % base == blank:
                             continue
                         at = state * base + int(alphabet[s])
-                        total += cost_of[at] / PARTS
+                        total += self._cost(at)
                         state = at % mod
                     held = best.get(state)
                     if held is None or total < held[0]:
