@@ -155,6 +155,22 @@ def test_large_alphabets_keep_the_contexts():
                     assert got[0, k] == pytest.approx(ppm_length(own, text, model.base), abs=0.02)
 
 
+def test_models_hold_all_grams(spark, monkeypatch):
+    """No count is left out of the models: a limit on what they gather would show."""
+    docs = [(1, "aaaaaaaa aaaaaaaa aaaaaaaa", "hot"), (2, "xyzzy plugh", "rare"), (3, "Füße über", "de")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    limit = type(df).limit
+    monkeypatch.setattr(type(df), "limit", lambda self, n: limit(self, min(n, 3)))
+    model = langid.train(df)
+    assert model.languages == ["de", "hot", "rare"]
+    sizes = np.array([len(_symbols(t)) for _, t, _ in sorted(docs, key=lambda x: x[2])])
+    assert model.prior == pytest.approx(-np.log(sizes / sizes.sum()))
+    whole = toxicity.language_model(df)
+    for m, texts in ((model, [t for _, t, x in docs if x == "rare"]), (whole, [t for _, t, _ in docs])):
+        ((_, _, buf, offsets),) = textkit.chunks(pa.array(["xyzzy plugh"]))
+        assert m.lengths(buf, offsets)[0][0, -1] == pytest.approx(ppm_length(texts, "xyzzy plugh", m.base), abs=0.02)
+
+
 def test_language_ids(spark):
     learn = spark.createDataFrame([("the of and this that with", "en"), ("der die das und nicht mit", "de")], "text string, lang string")
     model = langid.train(learn)

@@ -26,8 +26,6 @@ from tidegraph.llm.textkit import chunks
 PARTS = 2048
 #: Code lengths that a worker keeps at hand.
 CACHE = 1 << 23
-#: Most frequent 4-grams that the model keeps.
-MODEL_GRAMS = 4_000_000
 
 
 class Tree:
@@ -74,7 +72,7 @@ class PpmModel:
         totals = np.zeros(len(languages))
         for k in range(len(languages)):
             own = cls == k
-            there, count = code[own], n[own]
+            there, count = code[own].astype(np.int64), n[own]
             compact = np.zeros(len(there), np.int64)
             for x in range(ORDER, -1, -1):
                 compact = compact * a + self.alphabet[there // SYMBOLS**x % SYMBOLS]
@@ -145,13 +143,14 @@ class PpmModel:
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang") -> PpmModel | None:
     """Context trees from every row with a text and a language; None without any."""
     counts = bytegrams.count(docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), text_col, lang_col)
-    rows = counts.orderBy(F.desc("n"), "cls", "code").limit(MODEL_GRAMS).toArrow()
+    rows = counts.select("cls", F.col("code").cast("int").alias("code"), "n").toArrow()
     if not rows.num_rows:
         return None
-    names = np.array(rows["cls"].to_pylist(), dtype=object)
-    languages = sorted(set(names))
-    cls = np.searchsorted(np.array(languages, dtype=object), names)
-    return PpmModel(languages, rows["code"].to_numpy(), rows["n"].to_numpy(), cls)
+    named = rows["cls"].combine_chunks().dictionary_encode()
+    names = named.dictionary.to_pylist()
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names])
+    return PpmModel(languages, rows["code"].to_numpy(), rows["n"].to_numpy(), place[named.indices.to_numpy()])
 
 
 def predict(docs: DataFrame, model: PpmModel | None, *, text_col: str = "text") -> DataFrame:

@@ -231,7 +231,7 @@ class Scorer:
 
 def language_model(docs: DataFrame, *, text_col: str = "text") -> PpmModel | None:
     """Character model from the 4-gram counts of all documents."""
-    rows = bytegrams.count(docs, text_col).orderBy(F.desc("n"), "code").limit(4_000_000).toArrow()
+    rows = bytegrams.count(docs, text_col).select(F.col("code").cast("int").alias("code"), "n").toArrow()
     if not rows.num_rows:
         return None
     return PpmModel([""], rows["code"].to_numpy(), rows["n"].to_numpy(), np.zeros(rows.num_rows, np.int64))
