@@ -81,6 +81,35 @@ def test_decontamination(spark):
     assert decontamination.leaks(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_in_short_phrases():
+    """Passages in phrases of three words, with every fifth word changed, and short items; all pairs against the tiling."""
+    item = [f"w{k}" for k in range(30)]
+    phrases = [item[k : k + 3] for k in range(0, 30, 3)]
+    texts = [" ".join(w for p in phrases[::-1] for w in (*p, "gap")), " ".join("other" if k % 5 == 4 else w for k, w in enumerate(item)), "see how it goes", "so see how it goes on", None]
+    index = decontamination.Index([1, 2, 3], [" ".join(item), "see how it", "see how it goes"])
+    ((_, _, buf, offsets),) = textkit.chunks(pa.array(texts))
+    got = [(d, x, n, of) for d, x, n, of, _ in index.leaks(buf, offsets)]
+    assert got == [(0, 0, 30, 30), (1, 0, 24, 30), (2, 1, 3, 3), (2, 2, 4, 4), (3, 1, 3, 3), (3, 2, 4, 4)]
+    r = random.Random(5)
+    for vocabulary in (3, 6, 40):
+        items = [" ".join(f"v{r.randrange(vocabulary)}" for _ in range(r.randrange(0, 14))) for _ in range(40)]
+        texts = [" ".join(f"v{r.randrange(vocabulary)}" for _ in range(r.randrange(0, 40))) for _ in range(40)]
+        for t in range(20):
+            own = r.choice(items).split()
+            at = r.randrange(0, len(own) + 1)
+            texts.append(" ".join(own[at:] + ["cut"] + own[:at]))
+        index = decontamination.Index(list(range(40)), items)
+        ((_, _, buf, offsets),) = textkit.chunks(pa.array(texts))
+        h, first = decontamination.words_of(buf, offsets)
+        want = []
+        for d in range(len(texts)):
+            for x, own in enumerate(index.items):
+                n = sum(t[2] for t in decontamination.tiling(own, h[first[d] : first[d + 1]]))
+                if len(own) and n >= 0.8 * len(own):
+                    want.append((d, x))
+        assert want and [(d, x) for d, x, *_ in index.leaks(buf, offsets)] == want
+
+
 # --- op3 --------------------------------------------------------------------------
 
 
