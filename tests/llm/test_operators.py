@@ -437,3 +437,26 @@ def test_bootstrapping(spark):
     text = {r.doc_id: r.text for r in masked.collect()}
     assert masked.columns == ["doc_id", "text", "score", "n"] and text[0] == "Contact email: [EMAIL] now" and text[100] == "Contact email: [EMAIL] now" and text[900] is None
     assert pii.find(frame(spark, [])).count() == 0
+
+
+def test_identifiers_in_groups():
+    found = lambda t: [t[x["s"] : x["e"]] for x in pii.mentions(t, pii.base_spans(t)) if x["k"] < 0]
+    assert found("call 555 123 4567, 3 times") == ["555 123 4567", "3"]
+    assert found("iban DE89 3704 0044 0532 0130 00 or GB29 NWBK 6016 1331 9268 19.") == ["DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19"]
+    assert found("card 4111 1111 1111 1112 and (555) 123-4567 NOT") == ["4111 1111 1111 1112", "(555) 123-4567"]
+    assert found("one a_1\nb_2 mail a@b.de c_3") == ["a_1", "b_2", "c_3"]
+    long = "w" * 999
+    p = [pii.mentions(f"{x}{long} a_1 {long}{x}", [])[0]["p"] for x in "ab"]
+    assert all(x != y for x, y in zip(*p))
+
+
+def test_bootstrapping_in_two_steps(spark):
+    """Strings found in round one carry a context without any seed, which marks a new one."""
+    rows = [(i, f"Reach me under +1 555 010 {1000 + i} daily") for i in range(60)]
+    rows += [(100 + i, f"Reach me under 555 123 {4000 + i} daily") for i in range(8)]
+    rows += [(200 + i, f"dial quickly 555 123 {4000 + i} tonight") for i in range(8)]
+    rows += [(300, "dial quickly 777 888 9999 tonight"), (301, "in the 1990 season")]
+    got = {r.doc_id: r for r in pii.find(frame(spark, rows)).collect()}
+    assert got[100].spans == "phone:15:27" and got[200].spans == "phone:13:25"
+    assert got[300].spans == "phone:13:25" and got[301].spans == ""
+    assert {r.doc_id: r.text for r in pii.mask(frame(spark, rows)).collect()}[300] == "dial quickly [PHONE] tonight"

@@ -2,11 +2,13 @@
 
 Fixed patterns give the base spans (e-mail and IP addresses, card and phone
 numbers).  Their strings are the seeds.  A lexical pattern is the word before or
-after an identifier-like token, or both; the graph of patterns and token strings
-over the whole corpus is scored in rounds: a pattern by the mean confidence of its
-distinct strings, a string by the patterns that hold it.  Patterns that reach
-``TRUST`` with ``SUPPORT`` distinct seeds then mark further tokens in their
-contexts.  Base spans always stay.
+after an identifier, or both, where an identifier is a base span or a run of
+identifier-like words across blanks; the graph of patterns and strings over the
+whole corpus is scored in rounds: a pattern by the mean confidence of its distinct
+strings, a string by the patterns that hold it.  Patterns that reach ``TRUST`` with
+``SUPPORT`` distinct strings of that confidence, seeds in round one and found
+strings too from round two on, then mark further identifiers in their contexts.
+Base spans always stay.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&="
 _TELLING = re.compile(r"[0-9@_]|\w\.\w")
+_BLANKS = re.compile(r"[\x20\t\xa0]+")
+_GROUP = re.compile(r"[A-Z]{2,4}")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -80,29 +84,61 @@ def _key(*parts: str) -> int:
     return int.from_bytes(hashlib.blake2b("\x1f".join(parts).encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base spans and other identifier-like tokens with their contexts; kind -1 for the others."""
-    if not base and not _TELLING.search(text):
-        return []
-    spans = [(s, e, k) for k, s, e in base]
-    taken = sorted((s, e) for s, e, _ in spans)
-    out, t = [], 0
+def _runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of identifier-like words on a line outside the taken spans; a short word in capitals may stand between two."""
+    start = end = last = t = 0  # the run so far and where its last word ends with what follows it
+    linked = False  # whether a next word may go on
     for m in _WORD.finditer(text):
         word = m[0]
         core = word.strip(_EDGE)
-        if len(core) < 6 or not _TELLING.search(core):
-            continue
         s = m.start() + word.find(core)
+        e = s + len(core)
         while t < len(taken) and taken[t][1] <= m.start():
             t += 1
-        if t < len(taken) and taken[t][0] < m.end():
-            continue
-        spans.append((s, s + len(core), -1))
+        free = not (t < len(taken) and taken[t][0] < m.end())
+        goes_on = linked and _BLANKS.fullmatch(text, last, m.start()) and text[m.start() : s] in ("", "(")
+        telling = free and core and _TELLING.search(core)
+        if telling:
+            if not goes_on:
+                if end > start:
+                    yield start, end
+                start = s - (text[m.start() : s][-1:] == "(" and ")" in text[s : m.end()])
+            end = e
+            linked = text[e : m.end()] in ("", ")")
+        elif not (goes_on and free and _GROUP.fullmatch(word)):
+            linked = False
+        last = m.end()
+    if end > start:
+        yield start, end
+
+
+def _neighbours(text: str, s: int, e: int) -> tuple[str, str]:
+    """The whole words before and after a span, in small letters."""
+    size = 200
+    while True:
+        at = max(0, s - size)
+        before = text[at:s].split()
+        if at == 0 or len(before) > 1 or (before and text[at].isspace()):
+            break
+        size *= 4
+    size = 200
+    while True:
+        after = text[e : e + size].split()
+        if e + size >= len(text) or len(after) > 1 or (after and text[e + size - 1].isspace()):
+            break
+        size *= 4
+    return before[-1].lower() if before else "\x02", after[0].lower() if after else "\x03"
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
+    """Base spans and other runs of identifier-like words with their contexts; kind -1 for the others."""
+    if not base and not _TELLING.search(text):
+        return []
+    spans = [(s, e, k) for k, s, e in base]
+    spans += [(s, e, -1) for s, e in _runs(text, sorted((s, e) for s, e, _ in spans))]
+    out = []
     for s, e, k in spans:
-        before = text[max(0, s - 200) : s].split()
-        after = text[e : e + 200].split()
-        left = before[-1].lower() if before else "\x02"
-        right = after[0].lower() if after else "\x03"
+        left, right = _neighbours(text, s, e)
         out.append({"s": s, "e": e, "k": k, "i": _key("i", text[s:e]), "p": [_key("l", left), _key("r", right), _key("b", left, right)]})
     return out
 
@@ -143,9 +179,9 @@ def learn(scanned: DataFrame, *, rounds: int = ROUNDS, trust: float = TRUST, sup
     known = seeds
     trusted = None
     for _ in range(rounds):
-        scored = edges.select("p", "i").join(known, "i", "left").groupBy("p", "kind").agg(F.sum("conf").alias("hit"), F.count_if(F.col("conf") == 1.0).alias("seeds"), F.count("*").alias("n"))
+        scored = edges.select("p", "i").join(known, "i", "left").groupBy("p", "kind").agg(F.sum("conf").alias("hit"), F.count_if(F.col("conf") >= trust).alias("sure"), F.count("*").alias("n"))
         total = scored.groupBy("p").agg(F.sum("n").alias("n"))
-        trusted = cut(scored.where("kind is not null").drop("n").join(total, "p").select("p", "kind", (F.col("hit") / F.col("n")).alias("conf"), "seeds").where((F.col("conf") >= trust) & (F.col("seeds") >= support)).drop("seeds"))
+        trusted = cut(scored.where("kind is not null").drop("n").join(total, "p").select("p", "kind", (F.col("hit") / F.col("n")).alias("conf"), "sure").where((F.col("conf") >= trust) & (F.col("sure") >= support)).drop("sure"))
         reached = edges.where("k < 0").join(trusted, "p").groupBy("i", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("conf"), F.lit(1e-6)))))).alias("c"))
         best = reached.groupBy("i").agg(F.max_by("kind", F.struct("c", -F.col("kind"))).alias("kind"), F.least(F.max("c"), F.lit(0.999999)).alias("conf"))
         known = seeds.unionByName(best.join(seeds.select("i"), "i", "left_anti"))
