@@ -239,6 +239,31 @@ def test_toxicity(spark):
     assert blank is None and {r.score for r in toxicity.score(docs, blank, held).collect()} == {0.0}
 
 
+def test_gate_lets_hidden_words_through():
+    class Recorder:
+        def restore(self, token):
+            seen.append(token)
+            return token
+
+    for text, want in (
+        ("un i m b é c i l e là", ["imbécile"]),
+        ("so i. d. i. o. t. it is", ["idiot"]),
+        ("an !diot |diot !!!diot (rap", ["!diot", "|diot", "!!!diot", "(rap"]),
+        ("ro++ gr€mp £iar 1234d", ["ro++", "gr€mp", "£iar", "1234d"]),
+        ("! d 1 0 t", ["!d10t"]),
+        ("a b – c d x", ["cdx"]),
+        ("plain words, here. – • é a", []),
+    ):
+        seen = []
+        ((_, _, buf, offsets),) = textkit.chunks(pa.array([text]))
+        toxicity.features(buf, offsets, Recorder())
+        assert seen == want
+    seen = []
+    ((_, _, buf, offsets),) = textkit.chunks(pa.array(["x a b", "c d e f", ""]))
+    toxicity.features(buf, offsets, Recorder())
+    assert seen == ["xab", "cdef"]
+
+
 # --- op5 --------------------------------------------------------------------------
 
 

@@ -40,6 +40,8 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 _LEET = np.zeros(256, dtype=bool)
 _LEET[[ord(c) for c in LEET if ord(c) < 128 and c not in "!|+("]] = True
+_LOOSE = np.zeros(256, dtype=bool)  # leet characters that are common as punctuation
+_LOOSE[[ord(c) for c in "!|+("]] = True
 _U64 = np.uint64
 CACHE = 200_000
 
@@ -140,6 +142,34 @@ def _span_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple
     return np.concatenate(hashes), np.concatenate(of)
 
 
+def _signs(buf: np.ndarray) -> np.ndarray:
+    """Where a leet character of several bytes begins."""
+    out = np.zeros(len(buf), bool)
+    if len(buf) > 1:
+        out[:-1] = (buf[:-1] == 0xC2) & ((buf[1:] == 0xA2) | (buf[1:] == 0xA3))
+    if len(buf) > 2:
+        out[:-2] |= (buf[:-2] == 0xE2) & (buf[1:-1] == 0x82) & (buf[2:] == 0xAC)
+    return out
+
+
+def _single(w: Words, buf: np.ndarray, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the words without outer punctuation, and which of them are one character."""
+    solid = letter | _LEET[buf]
+    total = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(solid, out=total[1:])
+    places = np.flatnonzero(solid)
+    a, b = total[w.start], total[w.end]
+    left, right = w.start.copy(), w.end.copy()
+    has = b > a
+    left[has], right[has] = places[a[has]], places[b[has] - 1] + 1
+    chars = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=chars[1:])
+    single = chars[right] - chars[left] == 1
+    if len(single):
+        single &= has | _LOOSE[buf[left]]
+    return left, right, single
+
+
 def features(buf: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
     """Feature hashes of the words of each document, restored words included, and the documents; with repeats."""
     w = Words(buf, offsets, lower=True)
@@ -156,9 +186,10 @@ def features(buf: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[np
     start, end, wdoc = w.start[has], w.end[has], doc[has]
     first, last = places[a[has]], places[b[has] - 1]
     odd = (last + 1 - first) > (b - a)[has]
-    pre, post = first - start, end - 1 - last
-    odd |= (pre > 0) & (pre <= 2) & _LEET[buf[np.maximum(first - 1, 0)]]
-    odd |= (post > 0) & (post <= 2) & _LEET[buf[np.minimum(last + 1, len(buf) - 1)]]
+    leet = _LEET[buf] | _LOOSE[buf] | _signs(buf)
+    leets = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(leet, out=leets[1:])
+    odd |= leets[end] > leets[start]
     if len(buf) > 2:
         run = np.zeros(len(buf) + 1, np.int64)
         np.cumsum(letter[:-2] & (buf[:-2] < 128) & (buf[:-2] == buf[1:-1]) & (buf[1:-1] == buf[2:]), out=run[1:-2])
@@ -178,18 +209,20 @@ def features(buf: np.ndarray, offsets: np.ndarray, decoder: Decoder) -> tuple[np
 
     for k in np.flatnonzero(odd).tolist():
         add(data[start[k] : end[k]].decode("utf-8", "replace").strip(".,;:?\"')]}<>#%&*~"), int(wdoc[k]))
-    single = (w.end - w.start) == 1
+    left, right, single = _single(w, buf, letter)
     if single.any():
-        single &= letter[w.start] | _LEET[buf[w.start]]
         edge = np.flatnonzero(np.diff(np.r_[False, single, False].astype(np.int8)))
         for i, j in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            while i < j:
-                k = i
-                while k < j and doc[k] == doc[i]:
-                    k += 1
-                if k - i >= 3:
-                    add("".join(chr(buf[p]) for p in w.start[i:k]), int(doc[i]))
-                i = k
+            spaced: list[str] = []
+            for k in range(i, j + 1):
+                c = data[left[k] : right[k]].decode("utf-8", "replace") if k < j else ""
+                fits = c.isalpha() or c in LEET
+                if spaced and (not fits or doc[k] != doc[k - 1]):
+                    if len(spaced) >= 3:
+                        add("".join(spaced), int(doc[k - 1]))
+                    spaced = []
+                if fits:
+                    spaced.append(c)
     if words:
         size = np.array([len(x) for x in words])
         joined = np.frombuffer(b"".join(words), np.uint8)
