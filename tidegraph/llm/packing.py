@@ -1,9 +1,10 @@
-"""Hierarchical multi-length packing of tokenised documents.
+"""Multi-length packing of tokenised documents by best fit.
 
-Each document is routed to the smallest context-size tier that holds what is left
-of it after whole windows are cut off.  Windows of the largest tier open with the
-longest remainders and their gaps are filled from shorter tiers; what is left at
-the end of a batch forms exact power-of-two sequences of the smaller tiers, which
+Whole windows of the largest tier are cut off each document; what is left of all
+documents of a batch forms one pool, and no document is routed to a tier of its
+own size.  Windows open with the longest remainders and their gaps are filled with
+the longest that fit; what is left at the end of a batch forms exact power-of-two
+sequences of the smaller tiers, which
 need no padding.  Packing works inside a task on batches of bounded size: no
 shuffle, no state that grows with the input, and a lost task packs the same rows
 again.  Sequences are dealt to step groups so that the groups' attention cost
