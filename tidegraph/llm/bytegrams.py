@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.textkit import chunks
+from tidegraph.llm.textkit import chunks, tidy
 
 SYMBOLS = 27 + 128
 #: Context length.
 ORDER = 3
+#: Counts that a task holds before it sums them by code.
+HELD = 1 << 20
 FOLD = np.zeros(256, dtype=np.uint8)
 FOLD[97:123] = np.arange(1, 27)
 FOLD[65:91] = np.arange(1, 27)
@@ -66,12 +68,18 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 def count(docs: DataFrame, text_col: str, class_col: str | None = None) -> DataFrame:
     """4-gram counts (cls string, code long, n long) over the whole texts of all rows, by class if there is one.
 
-    Each task sums its own counts before they are shuffled.
+    Each task sums its own counts before they are shuffled, and gives them out
+    where they grow beyond what it holds.
     """
 
+    def given(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for c in sorted(held):
+            code, n = merged(held[c])
+            yield pa.RecordBatch.from_pydict({"cls": pa.array([c] * len(code), pa.string()), "code": code.astype(np.int64), "n": n})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
+        size, limit = 0, HELD
         for b in batches:
             classes = b.column(1).to_pylist()
             for i, j, buf, offsets in chunks(b.column(0)):
@@ -84,13 +92,15 @@ def count(docs: DataFrame, text_col: str, class_col: str | None = None) -> DataF
                     part = np.unique(code[which == k] if len(names) > 1 else code, return_counts=True)
                     held.setdefault(name, []).append((part[0], part[1].astype(np.int64)))
                     size += len(part[0])
-                if size > 4_000_000:
+                if size > limit:
                     held = {c: [merged(p)] for c, p in held.items()}
-                    size = sum(len(p[0][0]) for p in held.values()) // 2
-        for c in sorted(held):
-            code, n = merged(held[c])
-            yield pa.RecordBatch.from_pydict({"cls": pa.array([c] * len(code), pa.string()), "code": code.astype(np.int64), "n": n})
+                    size = sum(len(p[0][0]) for p in held.values())
+                    limit = max(HELD, 2 * size)
+                if size > 2 * HELD:
+                    yield from given(held)
+                    held, size, limit = {}, 0, HELD
+        yield from given(held)
 
     cls = F.col(class_col) if class_col else F.lit("")
     part = docs.select(F.col(text_col).cast("string").alias("text"), cls.cast("string").alias("cls")).where("text is not null and cls is not null")
-    return part.mapInArrow(run, "cls string, code long, n long").groupBy("cls", "code").agg(F.sum("n").alias("n"))
+    return part.mapInArrow(tidy(run), "cls string, code long, n long").groupBy("cls", "code").agg(F.sum("n").alias("n"))

@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from tidegraph.llm import bytegrams
 from tidegraph.llm.bytegrams import ORDER, SYMBOLS
-from tidegraph.llm.textkit import chunks
+from tidegraph.llm.textkit import chunks, tidy
 
 #: Code lengths are kept in so many parts of a nat.
 PARTS = 2048
 #: Code lengths that a worker keeps at hand.
-CACHE = 1 << 23
+CACHE = 1 << 21
 
 
 class Tree:
@@ -82,11 +82,13 @@ class PpmModel:
         self._forget()
 
     def _forget(self) -> None:
+        #: what a task derives from the model; kept as long as its worker holds the model
+        self.derived: dict = {}
         self._codes = np.zeros(0, np.int32)
         self._costs = np.zeros((0, len(self.languages)), np.int32)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_codes", "_costs")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("derived", "_codes", "_costs")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -120,7 +122,7 @@ class PpmModel:
         out[there], out[~there] = self._costs[at[there]], fresh
         if len(new):
             if self._costs.size > CACHE:
-                self._forget()
+                self._codes, self._costs = self._codes[:0], self._costs[:0]
             put = np.searchsorted(self._codes, new)
             self._codes, self._costs = np.insert(self._codes, put, new), np.insert(self._costs, put, fresh, axis=0)
         return out
@@ -187,4 +189,4 @@ def predict(docs: DataFrame, model: PpmModel | None, *, text_col: str = "text")
                     scores.append(float(share[k]) if ok else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

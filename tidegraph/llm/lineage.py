@@ -14,9 +14,19 @@ def shared_folder(spark: SparkSession) -> str:
     held = sc._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegraph-checkpoint-")
-    sc.setCheckpointDir(path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidegraph-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,13 +7,16 @@ document), never the partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer document forms a chunk alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Words up to this many bytes are hashed position by position.
 LONG_WORD = 1 << 14
 
@@ -28,6 +31,30 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def give_back() -> None:
+    """Return the freed memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its own policy holds
+        return
+
+
+def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A task's function that leaves no freed memory with the worker, which outlives the task."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> _U64(30))

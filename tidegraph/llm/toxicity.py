@@ -11,7 +11,7 @@ documents; features are picked by their log-likelihood ratio.
 
 from __future__ import annotations
 
-import sys
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from tidegraph.llm import bytegrams
 from tidegraph.llm.bytegrams import FOLD
 from tidegraph.llm.langid import PARTS, PpmModel
-from tidegraph.llm.textkit import _POSITION, LONG_WORD, Words, chunks, mix
+from tidegraph.llm.textkit import _POSITION, LONG_WORD, Words, chunks, mix, tidy
 
 #: Labelled documents that the scorer learns from at most, the first by hash of their id.
 SAMPLE = 20_000
-#: Features kept at most, and the least log-likelihood ratio of one.
-FEATURES, LEAST_RATIO = 8192, 16.0
+#: Toxic documents of the sample that a feature needs at least, and its least log-likelihood ratio.
+LEAST_DOCS, LEAST_RATIO = 3, 16.0
 #: Lengths in bytes of the word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
 #: What a character may stand for.
@@ -43,7 +43,8 @@ _LEET[[ord(c) for c in LEET if ord(c) < 128 and c not in "!|+("]] = True
 _LOOSE = np.zeros(256, dtype=bool)  # leet characters that are common as punctuation
 _LOOSE[[ord(c) for c in "!|+("]] = True
 _U64 = np.uint64
-CACHE = 200_000
+#: Decoded tokens and costs that a task keeps at hand, and the longest of those tokens.
+CACHE, KEPT_TOKEN = 50_000, 64
 
 
 class Decoder:
@@ -60,9 +61,11 @@ class Decoder:
             return token
         got = self.known.get(token)
         if got is None:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            got = self.known[token] = self._viterbi(token)
+            got = self._viterbi(token)
+            if len(token) <= KEPT_TOKEN:
+                if len(self.known) > CACHE:
+                    self.known.clear()
+                self.known[token] = got
         return got
 
     def _cost(self, gram: int) -> float:
@@ -98,10 +101,11 @@ class Decoder:
         start = 0
         for _ in range(order):
             start = start * base + blank
-        paths: dict[int, tuple[float, str]] = {start: (0.0, "")}
-        for options in [*self._options(token), [(" ", 0.0)]]:
-            best: dict[int, tuple[float, str]] = {}
-            for ctx, (cost, out) in paths.items():
+        # each path points back to the one that it goes on from
+        paths: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
+        for options in itertools.chain(self._options(token), [[(" ", 0.0)]]):
+            best: dict[int, tuple[float, tuple | None]] = {}
+            for ctx, (cost, back) in paths.items():
                 for text, extra in options:
                     total, state = cost + extra, ctx
                     for s in FOLD[np.frombuffer(text.encode(), np.uint8)].tolist() if text else ():
@@ -112,17 +116,19 @@ class Decoder:
                         state = at % mod
                     held = best.get(state)
                     if held is None or total < held[0]:
-                        best[state] = (total, out + text)
+                        best[state] = (total, (back, text))
             paths = best
-        return min(paths.values())[1].strip()
+        back, parts = min(paths.values(), key=lambda x: x[0])[1], []
+        while back is not None:
+            back, text = back
+            parts.append(text)
+        return "".join(reversed(parts)).strip()
 
 
 def _decoder(held) -> Decoder:
-    """One decoder for each worker and model."""
-    place = sys.modules.setdefault("_tide_decoders", type(sys)("_tide_decoders"))
-    if getattr(place, "model", place) is not held.value:
-        place.model, place.decoder = held.value, Decoder(held.value)
-    return place.decoder
+    """The decoder of a shared model; it goes with the model once no task of the worker needs that any more."""
+    model = held.value
+    return Decoder(None) if model is None else model.derived.setdefault("decoder", Decoder(model))
 
 
 def _span_features(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -290,21 +296,27 @@ def _fit(d: np.ndarray, f: np.ndarray, y: np.ndarray, width: int, rounds: int =
 def train(docs: DataFrame, labels: DataFrame, held, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer | None:
     """A scorer from the documents among the first ``sample`` labelled ids by hash.
 
-    An id with several labels counts as toxic if one of them says so; null labels
-    count as none.  None if there is no labelled document.
+    An id with several labels counts as toxic if one of them says so: a label
+    above 0 does, null labels count as none.  None if there is no labelled document.
     """
-    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most ``sample`` pairs of numbers
     part = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").select("text", "y")
 
+    def given(parts: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> pa.RecordBatch:
+        key, n = bytegrams.merged(parts) if parts else (np.zeros(0, np.int64),) * 2
+        one, none = n >> 32, n & 0xFFFFFFFF
+        # a feature without a toxic document here still counts against the same feature elsewhere
+        return pa.RecordBatch.from_pydict({"h": np.r_[key, 0], "n1": np.r_[one, rows[1]], "n0": np.r_[none, rows[0]], "total": np.r_[np.zeros(len(key), bool), True]})
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = _decoder(held)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         rows = np.zeros(2, np.int64)
         for b in batches:
             y = b.column(1).to_numpy(zero_copy_only=False)
-            rows += np.bincount(np.minimum(y, 1), minlength=2)
+            rows += np.bincount(y, minlength=2)
             for i, j, buf, offsets in chunks(b.column(0)):
                 h, d = features(buf, offsets, decoder)
                 order = np.lexsort((d, h))
@@ -312,14 +324,14 @@ def train(docs: DataFrame, labels: DataFrame, held, *, id_col: str = "doc_id", t
                 new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])] if len(h) else np.zeros(0, bool)
                 key = h[new].view(np.int64)
                 parts.append(bytegrams.merged([(key, np.where(y[i:j][d[new]] > 0, np.int64(1) << 32, np.int64(1)))]))
-                if sum(len(p[0]) for p in parts[1:]) > 2_000_000:
+                if sum(len(p[0]) for p in parts[1:]) > bytegrams.HELD // 2:
                     parts = [bytegrams.merged(parts)]
-        key, n = bytegrams.merged(parts) if parts else (np.zeros(0, np.int64),) * 2
-        one, none = n >> 32, n & 0xFFFFFFFF
-        # a feature without a toxic document here still counts against the same feature elsewhere
-        yield pa.RecordBatch.from_pydict({"h": np.r_[key, 0], "n1": np.r_[one, rows[1]], "n0": np.r_[none, rows[0]], "total": np.r_[np.zeros(len(key), bool), True]})
+                    if len(parts[0][0]) > bytegrams.HELD:
+                        yield given(parts, np.zeros(2, np.int64))
+                        parts = []
+        yield given(parts, rows)
 
-    counted = part.mapInArrow(count, "h long, n1 long, n0 long, total boolean").groupBy("total", "h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where("total or n1 >= 3")
+    counted = part.mapInArrow(tidy(count), "h long, n1 long, n0 long, total boolean").groupBy("total", "h").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).where(F.col("total") | (F.col("n1") >= LEAST_DOCS))
     table = counted.toArrow()
     n1, n0, total = (table[c].to_numpy() for c in ("n1", "n0", "total"))
     h = table["h"].to_numpy().view(np.uint64)
@@ -332,7 +344,6 @@ def train(docs: DataFrame, labels: DataFrame, held, *, id_col: str = "doc_id", t
     share, q = (n1 + 1e-9) / (n1 + n0), p1 / (p1 + p0)
     ratio = 2 * (n1 * np.log(share / q) + n0 * np.log(np.maximum(n0, 1e-9) / (n1 + n0) / (1 - q)))
     good = np.flatnonzero((ratio >= LEAST_RATIO) & (share > q))
-    good = good[np.lexsort((h[good], -ratio[good]))][:FEATURES]
     blank = Scorer(np.sort(h[good]), np.zeros(len(good)), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(blank)
 
@@ -344,8 +355,8 @@ def train(docs: DataFrame, labels: DataFrame, held, *, id_col: str = "doc_id", t
                 cut = np.searchsorted(d, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_pydict({"y": b.column(1).slice(i, j - i), "f": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(f, pa.int32()))})
 
-    seen = part.mapInArrow(find, "y int, f array<int>").toArrow()
-    y = np.minimum(seen["y"].to_numpy(), 1)
+    seen = part.mapInArrow(tidy(find), "y int, f array<int>").toArrow()
+    y = seen["y"].to_numpy()
     lists = seen["f"].combine_chunks()
     f = lists.flatten().to_numpy()
     d = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
@@ -374,7 +385,7 @@ def score(docs: DataFrame, scorer: Scorer | None, held, *, text_col: str = "text
             s = np.concatenate(parts)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def fitted(docs: DataFrame, learn: DataFrame, labels: DataFrame, **options) -> tuple[Scorer | None, object]:
@@ -396,4 +407,4 @@ def clean(docs: DataFrame, scorer: Scorer | None, held, *, text_col: str = "text
                 keep.append(np.ones(j - i, bool) if model is None else model.scores(*features(buf, offsets, decoder), j - i) < 0.5)
             yield b.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
