@@ -1,11 +1,13 @@
-"""Multi-length packing of tokenised documents by best fit.
-
-Whole windows of the largest tier are cut off each document; what is left of all
-documents of a batch forms one pool, and no document is routed to a tier of its
-own size.  Windows open with the longest remainders and their gaps are filled with
-the longest that fit; what is left at the end of a batch forms exact power-of-two
-sequences of the smaller tiers, which
-need no padding.  Packing works inside a task on batches of bounded size: no
+"""Hierarchical multi-length packing of tokenised documents.
+
+Whole windows of the longest context size are cut off each document.  What is left
+is routed to the tier of its own size, the shortest context size that holds it.
+Tiers are packed from the longest down: a sequence of a tier opens with its longest
+unit, and its gap takes the longest whole units of the tiers that fit into it; only
+a gap that no whole unit fits into cuts one.  So all sequences are full at their
+tier's size.  The tokens of a batch that no longer fill a sequence of their tier go
+on to the next batch; at the end of a task they form sequences of powers of two,
+which need no padding.  Packing works inside a task on batches of bounded size: no
 shuffle, no state that grows with the input, and a lost task packs the same rows
 again.  Sequences are dealt to step groups so that the groups' attention cost
 (sum of squared piece lengths) is even.
@@ -25,7 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TIERS = (2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
+from tidegraph.llm.textkit import tidy
+
+#: Context sizes.
+TIERS = (2048, 1024, 512, 256)
 #: Sequences of one training step.
 STEP = 32
 _ADJACENT = re.compile(r"\s\s")
@@ -33,41 +38,51 @@ _PARTS = r"""'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary for whole texts.
+    """Ids of a byte-level BPE vocabulary for whole texts, as ``tokenizers`` gives them without added tokens.
 
     The pre-tokens of these vocabularies need a look-ahead only where two white
     space characters meet; other texts are cut by the same pattern without it,
-    which is faster and gives the same ids.
+    which is faster and gives the same ids.  A text is first cut at the
+    vocabulary's special strings, which are ids of their own.
     """
 
     def __init__(self, path: str):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self._reference = Tokenizer.from_file(path)
-        self._reference.encode_special_tokens = True
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        added = {t["content"]: t for t in model.get("added_tokens", []) if t["content"]}
         table = _byte_alphabet()
         pre = model.get("pre_tokenizer") or {}
         plain = model["model"]["type"] == "BPE" and not model["model"].get("ignore_merges") and model.get("normalizer") is None
+        plain = plain and not any(t.get(flag) for t in added.values() for flag in ("single_word", "lstrip", "rstrip"))
         self._ranked = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         if self._ranked:
-            ranks = {bytes(table[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in special}
+            ranks = {bytes(table[c] for c in w): i for w, i in model["model"]["vocab"].items() if w not in added}
             make = lambda pattern: tiktoken.Encoding("byte-bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self._plain, self._full = make(_PARTS), make(_PARTS[:-4] + r"|\s+(?!\S)|\s+")
+            self._ids = {content: t["id"] for content, t in added.items()}
+            self._special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        else:
+            from tokenizers import Tokenizer
+
+            self._reference = Tokenizer.from_file(path)
+
+    def _ordinary(self, text: str) -> list[int]:
+        return (self._full if _ADJACENT.search(text) else self._plain)(text)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self._ranked:
             ids = self._reference.encode(text, add_special_tokens=False).ids
-        elif _ADJACENT.search(text):
-            ids = self._full(text)
+        elif self._special is not None and self._special.search(text):
+            ids = []
+            for k, part in enumerate(self._special.split(text)):
+                ids += [self._ids[part]] if k % 2 else self._ordinary(part)
         else:
-            ids = self._plain(text)
+            ids = self._ordinary(text)
         return np.array(ids, dtype="<u4").tobytes() if sys.byteorder == "big" else array.array("I", ids).tobytes()
 
 
@@ -83,65 +98,83 @@ def _byte_alphabet() -> dict[str, int]:
     return table
 
 
-def tokenizer(path: str) -> ByteBpe:
-    """One tokenizer for each worker process."""
-    held = sys.modules.setdefault("_tide_tokenizers", type(sys)("_tide_tokenizers"))
-    if path not in held.__dict__:
-        held.__dict__[path] = ByteBpe(path)
-    return held.__dict__[path]
+Piece = tuple[int, int, int, int, int, int]
 
 
-def place(lengths: Sequence[int], tiers: Sequence[int] = TIERS) -> list[tuple[int, int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset, tier) that hold every token once.
+class Packer:
+    """Units (length, document, start) by tier, and the sequences made of them.
 
-    Only the last sequences of a call are shorter than the largest tier, and
-    those are full at a smaller tier as long as the tiers end with 1.
+    ``pieces`` holds (document, start, length, sequence, offset, size of the
+    sequence), every token once.
     """
-    window = tiers[0]
-    out: list[tuple[int, int, int, int, int, int]] = []
-    pool: list[tuple[int, int, int]] = []  # (length, document, start), ascending
-    seq = 0
-    for d, n in enumerate(lengths):
-        at = 0
-        while n - at >= window:
-            out.append((d, at, window, seq, 0, window))
-            seq += 1
+
+    def __init__(self, tiers: Sequence[int] = TIERS):
+        self.tiers = tuple(tiers)
+        self.units: dict[int, list[tuple[int, int, int]]] = {t: [] for t in self.tiers}
+        self.left = 0
+        self.sequences = 0
+        self.pieces: list[Piece] = []
+
+    def add(self, document: int, tokens: int) -> None:
+        """Cut off whole windows of the longest tier and route the rest to the tier of its size."""
+        at, window = 0, self.tiers[0]
+        while tokens - at >= window:
+            self.pieces.append((document, at, window, self.sequences, 0, window))
+            self.sequences += 1
             at += window
-        if n > at:
-            pool.append((n - at, d, at))
-    pool.sort()
-    left = sum(p[0] for p in pool)
-
-    def fill(size: int) -> None:
-        """One full sequence: the longest remainder first, then the longest that fits, at last a cut."""
-        nonlocal seq, left
+        if tokens > at:
+            self._route((tokens - at, document, at))
+            self.left += tokens - at
+
+    def _route(self, unit: tuple[int, int, int]) -> None:
+        bisect.insort(self.units[min(t for t in self.tiers if t >= unit[0])], unit)
+
+    def _best(self, gap: int) -> tuple[int, int, int] | None:
+        """The longest unit that fits whole; taken out."""
+        for t in self.tiers:
+            pool = self.units[t]
+            if pool and pool[0][0] <= gap:
+                return pool.pop(bisect.bisect_right(pool, (gap, sys.maxsize, 0)) - 1)
+        return None
+
+    def _shortest(self) -> tuple[int, int, int]:
+        for t in reversed(self.tiers):
+            if self.units[t]:
+                return self.units[t].pop(0)
+        raise LookupError("no unit is left")
+
+    def _sequence(self, size: int) -> None:
+        """One full sequence of a size that the units left can fill."""
         gap = size
         while gap:
-            k = bisect.bisect_right(pool, (gap, sys.maxsize, 0)) - 1
-            if k >= 0:
-                n, d, at = pool.pop(k)
-            else:
-                n, d, at = pool.pop(0)
-                bisect.insort(pool, (n - gap, d, at + gap))
-                n = gap
-            out.append((d, at, n, seq, size - gap, size))
+            unit = self._best(gap)
+            if unit is None:
+                n, d, at = self._shortest()
+                self._route((n - gap, d, at + gap))
+                unit = (gap, d, at)
+            n, d, at = unit
+            self.pieces.append((d, at, n, self.sequences, size - gap, size))
             gap -= n
-        seq += 1
-        left -= size
-
-    while left >= window:
-        fill(window)
-    for t in tiers[1:]:
-        while left >= t:
-            fill(t)
-    while pool:  # tiers that do not end with 1: the rest goes to one sequence of the smallest tier, padded
-        n, d, at = pool.pop()
-        out.append((d, at, n, seq, 0, tiers[-1]))
-        seq += 1
-    return out
+        self.sequences += 1
+        self.left -= size
+
+    def pack(self) -> None:
+        """Fill sequences tier by tier, as long as what is left fills one of the tier."""
+        for t in self.tiers:
+            while self.units[t] and self.left >= t:
+                self._sequence(t)
 
+    def finish(self) -> None:
+        """Sequences of powers of two from the rest."""
+        while self.left:
+            self._sequence(1 << min(self.left.bit_length() - 1, self.tiers[0].bit_length() - 1))
 
-def balance(pieces: list[tuple[int, int, int, int, int, int]], step: int = STEP) -> dict[int, int]:
+    def documents(self) -> set[int]:
+        """The documents with units that are not packed yet."""
+        return {d for pool in self.units.values() for _, d, _ in pool}
+
+
+def balance(pieces: list[Piece], step: int = STEP) -> dict[int, int]:
     """Step group of each sequence: sequences in order of cost are dealt back and forth."""
     cost: dict[int, int] = {}
     for _, _, n, s, _, _ in pieces:
@@ -154,14 +187,14 @@ def balance(pieces: list[tuple[int, int, int, int, int, int]], step: int = STEP)
     return out
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", tiers: Sequence[int] = TIERS, end_id: int = 1, step: int = STEP, with_ids: bool = False, batch_docs: int = 2048, batch_tokens: int = 8_000_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", tiers: Sequence[int] = TIERS, end_id: int = 1, step: int = STEP, with_ids: bool = False, batch_docs: int = 2048, batch_tokens: int = 2_000_000) -> DataFrame:
     """Pack every document into sequences of at most ``tiers[0]`` tokens.
 
     A null text counts as empty: its document is the end id alone.  A null id is
     kept.  Rows with the same id are separate documents.  An empty table gives an
     empty result.  Other columns are ignored.  Result, one row a piece: doc_id,
-    start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group,
-    and ids if ``with_ids``.
+    start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the size of
+    the sequence), step_group, and ids if ``with_ids``.
     """
     tiers = tuple(tiers)
     if not tiers or any(a <= b for a, b in zip(tiers, tiers[1:])) or tiers[-1] < 1:
@@ -176,41 +209,50 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe = tokenizer(tokenizer_path)
+        bpe = ByteBpe(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
         base = TaskContext.get().partitionId() << 38
-        steps = 0
-        names: list = []
-        ids: list[bytes] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal base, steps, held
-            pieces = place([len(x) // 4 for x in ids], tiers)
+        groups = base
+        packer = Packer(tiers)
+        texts: dict[int, tuple] = {}  # document number: (id, token ids)
+        number = fresh = held = 0
+
+        def given() -> pa.RecordBatch:
+            """The pieces so far; documents with tokens left stay."""
+            nonlocal groups, fresh, held
+            pieces, packer.pieces = packer.pieces, []
             group = balance(pieces, step)
             rows: list[list] = [[] for _ in fields]
             for d, at, n, s, o, t in pieces:
-                part = ids[d][4 * at : 4 * (at + n)]
-                row = [names[d], at, n, zlib.crc32(part), len(ids[d]) // 4, base + s, o, t, base + steps + group[s]]
+                name, ids = texts[d]
+                part = ids[4 * at : 4 * (at + n)]
+                row = [name, at, n, zlib.crc32(part), len(ids) // 4, base + s, o, t, groups + group[s]]
                 if with_ids:
                     row.append(np.frombuffer(part, "<u4").astype(np.int32))
                 for c, v in zip(rows, row):
                     c.append(v)
-            base += 1 + max((p[3] for p in pieces), default=-1)
-            steps = 0
-            names.clear()
-            ids.clear()
-            held = 0
+            groups += 1 + max(group.values(), default=-1)
+            stay = packer.documents()
+            for d in [d for d in texts if d not in stay]:
+                del texts[d]
+            fresh = held = 0
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                names.append(d)
-                ids.append((bpe.encode(t) if t else b"") + end)
-                held += len(ids[-1]) // 4
-                if len(ids) >= batch_docs or held >= batch_tokens:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+            for d, t in zip(b.column(0), b.column(1)):
+                text = t.as_py()
+                ids = (bpe.encode(text) if text else b"") + end
+                texts[number] = (d.as_py(), ids)
+                packer.add(number, len(ids) // 4)
+                number += 1
+                fresh += 1
+                held += len(ids) // 4
+                if fresh >= batch_docs or held >= batch_tokens:
+                    packer.pack()
+                    yield given()
+        packer.pack()
+        packer.finish()
+        if packer.pieces:
+            yield given()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), ddl)
