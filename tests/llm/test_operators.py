@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -311,16 +313,18 @@ def test_search_by_brute_force(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=20)]) for i in range(300)]
     rows += [(400, rows[0][1]), (401, rows[0][1]), (500, None), (501, [float("nan")] * 20), (502, [1.0] * 19 + [None]), (None, rows[1][1]), (600, [1e20] * 20), (503, []), (700, [1.0, 2.0]), (701, [3.0, 4.0])]
+    rows += [(800, [-3e38] * 20), (801, [2.5e20] + [0.0] * 19), (802, [1e20] * 20), (803, [1e9] * 10 + [-1e9] * 10), (804, [1e18, -1e18] * 10)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1))
-    v = topk.quantised(df.where("vec_id <> 600"), "vec_id", "embedding")
-    full = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in e] for i, e in rows if i is not None and e and i not in (500, 501, 502, 600)}
-    got = topk.search(v, v.where("id % 100 = 0"), block=4, query_block=2).collect()
+    v = topk.quantised(df, "vec_id", "embedding")
+    full = {i: [math.floor(1024 * float(np.float32(x))) for x in e] for i, e in rows if i is not None and e and i not in (500, 501, 502)}
     want = []
     for q in full:
         if q % 100 == 0:
             best = sorted((-sum(a * b for a, b in zip(full[q], full[c])), c) for c in full if c != q and len(full[c]) == len(full[q]))[:10]
-            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
-    assert sorted(map(tuple, got)) == sorted(want)
+            want += [(q, k + 1, c, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for k, (s, c) in enumerate(best)]
+    for query_block in (2, 4096):
+        got = topk.search(v, v.where("id % 100 = 0"), block=4, query_block=query_block).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
@@ -329,6 +333,9 @@ def test_large_scores_stay_exact():
     m = np.array([[1 << 28, 1, 1, i] for i in range(5)], np.int64)
     got = topk.Block(np.arange(5), m, 2).search(-1, q, 2, -np.inf)
     assert got == [((1 << 28) * ((1 << 28) + 2 + i), i) for i in (4, 3)]
+    values = [0, (1 << 63) - 1, -(1 << 63), 1 << 63, 1 << 64, 1 << 200, -(1 << 63) - 1, -(1 << 64), -(1 << 200)]
+    clamp = lambda s: (max(-(1 << 63), min((1 << 63) - 1, s)), topk._beyond(s))
+    assert sorted(values, key=clamp) == sorted(values)
 
 
 # --- op7 --------------------------------------------------------------------------
@@ -338,8 +345,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary())
-    t.encode_special_tokens = True
-    texts = ["Hello world", "a  b\n\n c", "<|endoftext|> plain", "日本 語", "it's  ", "word " * 5000, *[f"doc {i} " * (i * 7 % 90) for i in range(60)]]
+    assert t.encode("end <|endoftext|> here", add_special_tokens=False).ids[2] == 50256
+    texts = ["Hello world", "a  b\n\n c", "<|endoftext|> plain", "end <|endoftext|> here", "a<|endoftext|><|endoftext|>  b", "<|endoftext| >", "日本 語", "it's  ", "word " * 5000, *[f"doc {i} " * (i * 7 % 90) for i in range(60)]]
     rows = [*enumerate(texts), *ODD]
     pieces = packing.pack_documents(frame(spark, rows), queries.vocabulary(), with_ids=True, batch_docs=16).collect()
     want = sorted([*t.encode(x or "", add_special_tokens=False).ids, 1] for _, x in rows)
@@ -361,8 +368,48 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, []), queries.vocabulary()).count() == 0
 
 
+def test_tiers():
+    """Units go to the tier of their size, sequences are full at it, and only the rest of a batch is left."""
+    r = random.Random(3)
+    for tiers in (packing.TIERS, (100, 30, 7), (8,)):
+        packer = packing.Packer(tiers)
+        sizes = [min(int(r.paretovariate(0.7)), 9000) for _ in range(500)]
+        done = 0
+        for k, n in enumerate(sizes):
+            packer.add(k, n)
+            if k % 100 == 99:
+                assert all(n <= t and not any(n <= x < t for x in tiers) for t in tiers for n, _, _ in packer.units[t])
+                packer.pack()
+                assert packer.left < tiers[0] and all(p[5] in tiers for p in packer.pieces[done:])
+                done = len(packer.pieces)
+        assert len({p[5] for p in packer.pieces}) == len(tiers)  # every tier has sequences of its own
+        openers = {p[3]: p[2] for p in packer.pieces if p[4] == 0}
+        size = {p[3]: p[5] for p in packer.pieces}
+        if tiers == packing.TIERS:  # a sequence opens with a unit of its tier
+            assert all(2 * openers[s] > size[s] or size[s] == tiers[-1] for s in openers)
+        packer.finish()
+        assert packer.left == 0 and not packer.documents()
+        filled, tokens = {}, {}
+        for d, at, n, s, o, t in packer.pieces:
+            assert filled.get(s, 0) == o
+            filled[s] = o + n
+            tokens.setdefault(d, []).append((at, n))
+        assert all(filled[p[3]] == p[5] for p in packer.pieces)
+        for d, parts in tokens.items():
+            at = 0
+            for a, n in sorted(parts):
+                assert a == at
+                at += n
+            assert at == sizes[d]
+
+
 def test_step_groups_are_even():
-    pieces = packing.place([random.Random(k).randrange(1, 5000) for k in range(400)])
+    packer = packing.Packer()
+    for k in range(400):
+        packer.add(k, random.Random(k).randrange(1, 5000))
+    packer.pack()
+    packer.finish()
+    pieces = packer.pieces
     groups = packing.balance(pieces, 16)
     cost = {}
     for _, _, n, s, _, _ in pieces:
@@ -409,6 +456,136 @@ def test_chat(spark):
     assert chat.format_messages(df.where("role = 'tool'")).count() == 3
 
 
+def _plain_chat(rows):
+    """(conv, turn, role, seq_turn, seq_level, n_calls, n_linked, errors) of each row by plain loops; no schemas."""
+    last = (1 << 63) - 1
+    messages = []
+    for conv, turn, role, text in rows:
+        try:
+            j = json.loads(text) if (text or "").lstrip().startswith("{") else {}
+        except ValueError:
+            j = {}
+        calls = [(c.get("id"), c.get("name"), c.get("arguments")) for c in j.get("tool_calls") or ()] if role == "assistant" else []
+        result = j.get("tool_call_id") if role == "tool" else None
+        messages.append((conv, last if turn is None else turn, role, text, calls, result))
+    node = lambda m: (m[0], m[1], m[2], m[3])
+    order = {node(m): h for m, h in zip(messages, _plain_chat.hashes(messages))}
+    owner, answers = {}, {}
+    for m in messages:
+        for place, (i, _, _) in enumerate(m[4]):
+            if i is not None and m[0] is not None:
+                owner[m[0], i] = min(owner.get((m[0], i), (last + 1,)), (m[1], order[node(m)], place, node(m)))
+        if m[5] is not None and m[0] is not None:
+            answers.setdefault((m[0], m[5]), []).append(m)
+    text_of = lambda a: a if isinstance(a, str) else json.dumps(a)
+    needs = {}  # call: identifiers
+    edges = {}  # message: messages
+    for m in messages:
+        for i, _, a in m[4]:
+            if i is None or m[0] is None:
+                continue
+            for y in re.findall(r"\$\{([^}]*)\}", text_of(a) or ""):
+                if (m[0], y) in owner:
+                    needs.setdefault((m[0], i), set()).add((m[0], y))
+                    at = owner[m[0], y][3]
+                    if at != node(m):
+                        edges.setdefault(node(m), set()).add(at)
+                        edges[node(m)] |= {node(x) for x in answers.get((m[0], y), ())}
+        if m[5] is not None and (m[0], m[5]) in owner:
+            edges.setdefault(node(m), set()).add(owner[m[0], m[5]][3])
+
+    def peel(nodes, needs):
+        done = {}
+        while True:
+            new = {x: 1 + max([done[y] for y in needs.get(x, ())], default=-1) for x in nodes if x not in done and all(y in done for y in needs.get(x, ()))}
+            if not new:
+                return done
+            done |= new
+
+    depth = peel(set(owner), needs)
+    free = peel({node(m) for m in messages}, edges)
+    late = {m[0] for m in edges for d in edges[m] if d[1] >= m[1]}
+    places = {}
+    for x in sorted(free, key=free.get):
+        under = max([places[d] for d in edges.get(x, ())], default=(-1, 0))
+        places[x] = (under[0], under[1] + 1) if under[0] >= x[1] else (x[1], 0)
+    out = []
+    for m in messages:
+        seq = places.get(node(m), (m[1], 1 << 20)) if m[0] in late else (m[1], 0)
+        errors, linked = [], 0
+        per = []
+        for place, (i, _, a) in enumerate(m[4]):
+            own = owner.get((m[0], i)) if m[0] is not None else None
+            first = own is not None and own[:3] == (m[1], order[node(m)], place)
+            n = len(answers.get((m[0], i), ())) if m[0] is not None else 0
+            linked += first and n > 0
+            found = []
+            if i is None:
+                found.append("?: no identifier")
+            elif m[0] is not None and not first:
+                found.append(f"{i}: identifier used twice")
+            if not n:
+                found.append(f"{i if i is not None else '?'}: no result")
+            if i is not None and m[0] is not None and ((m[0], i) not in depth or (m[0] in late and node(m) not in places)):
+                found.append(f"{i}: cycle")
+            per.append((depth.get((m[0], i), 1 << 20), place, found))
+        errors = [e for _, _, f in sorted(per) for e in f]
+        if m[5] is not None:
+            linked = int(m[0] is not None and (m[0], m[5]) in owner)
+            errors = [] if linked else [f"{m[5]}: no call"]
+        out.append((m[0], None if m[1] == last else m[1], m[2], None if seq[0] == last else seq[0], seq[1], len(m[4]), linked, "; ".join(errors)))
+    return sorted(out, key=str), edges
+
+
+def test_chat_by_definition(spark):
+    """Random conversations with nulls, cycles, duplicates, forward references and early results against plain loops."""
+    r = random.Random(21)
+    ids = ["a", "b", "c", "d", "e", None]
+    rows = []
+    for conv in [*range(40), None]:
+        for turn in range(r.randrange(1, 9)):
+            at = r.choice([turn, turn, turn, None, r.randrange(9)])
+            kind = r.random()
+            if kind < 0.45:
+                refs = lambda: " ".join(f"${{{r.choice('abcdef')}}}" for _ in range(r.choice([0, 0, 1, 2])))
+                calls = [{"id": r.choice(ids), "name": "f", "arguments": {"x": refs()}} for _ in range(r.randrange(1, 3))]
+                rows.append((conv, at, "assistant", json.dumps({"tool_calls": calls})))
+            elif kind < 0.85:
+                rows.append((conv, at, "tool", json.dumps({"tool_call_id": r.choice("abcde"), "content": str(r.randrange(3))})))
+            else:
+                rows.append((conv, at, r.choice(["user", None]), "hi"))
+            if r.random() < 0.1:
+                rows.append(rows[-1])
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.format_messages(df).collect()
+    keyed = {(x.role, x.text): x.h for x in df.select("role", "text", F.xxhash64("role", "text").alias("h")).collect()}
+    _plain_chat.hashes = lambda messages: [keyed[m[2], m[3]] for m in messages]
+    want, edges = _plain_chat(rows)
+    assert sorted(((x.conv_id, x.turn, x.role, x.seq_turn, x.seq_level, x.n_calls, x.n_linked, x.errors) for x in got), key=str) == want
+    assert sum("cycle" in w[7] for w in want) > 5 and sum(0 < w[4] < 1 << 20 for w in want) > 20
+    # the order is topological wherever there is one
+    last = (1 << 63) - 1
+    place = {}
+    for x in got:
+        place.setdefault((x.conv_id, x.turn, x.role), []).append((last if x.seq_turn is None else x.seq_turn, x.seq_level))
+    for m, needed in edges.items():
+        for d in needed:
+            mine, other = (place[n[0], None if n[1] == last else n[1], n[2]] for n in (m, d))
+            if len(set(mine)) == len(set(other)) == 1 and mine[0][1] < 1 << 20:
+                assert (other[0], d[1]) < (mine[0], m[1])
+
+
+def test_chat_keeps_rows_without_keys(spark):
+    c = lambda *x: json.dumps({"tool_calls": list(x)})
+    rows = [(None, 0, "assistant", c({"id": "a", "name": "f", "arguments": {}})), (1, None, "assistant", c({"id": "a", "name": "f", "arguments": {}})), (None, None, "tool", json.dumps({"tool_call_id": "a"})), (1, 3, "tool", json.dumps({"tool_call_id": "a"}))]
+    rows += [(2, 1, "assistant", c({"id": "x", "name": "f", "arguments": {"v": "${y}"}})), (2, 3, "assistant", c({"id": "y", "name": "f", "arguments": {}})), (2, 4, "tool", json.dumps({"tool_call_id": "y"}))]
+    got = {(r.conv_id, r.turn, r.role): r for r in chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(got) == len(rows)
+    assert got[None, 0, "assistant"].errors == "a: no result" and got[None, None, "tool"].errors == "a: no call"
+    assert got[1, None, "assistant"].n_linked == 1 and (got[1, 3, "tool"].seq_turn, got[1, 3, "tool"].seq_level) == (None, 1)
+    assert (got[2, 1, "assistant"].seq_turn, got[2, 1, "assistant"].seq_level) == (4, 1)
+
+
 # --- op9 --------------------------------------------------------------------------
 
 
@@ -464,6 +641,78 @@ def test_bootstrapping(spark):
     assert pii.find(frame(spark, [])).count() == 0
 
 
+def test_secrets_by_context(spark):
+    """Key-shaped strings induce a pattern, which then finds keys of other shapes; alone they are no spans."""
+    r = random.Random(2)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n - 8)) + "a1b2c3d4"
+    rows = [(i, f"word{'xyz'[i % 3]} token = \"{key(40)}\" {r.choice(['and', 'so', 'it'])} on") for i in range(30)]
+    rows += [(100, 'here token = "hunter_2" is'), (101, f"the sum {key(40)} of it"), (102, 'here token="zz9_zz" is'), (103, "clean v2 text")]
+    clash = frame(spark, rows).withColumns({"_id": F.lit(5), "_text": F.lit("x"), "more": F.lit(2), "_more": F.lit(3)})
+    plain = {r.doc_id: r.asDict() for r in pii.find(clash).collect()}
+    assert plain[0]["n_secret"] == plain[0]["n_added"] == plain[0]["n_spans"] == 1 and plain[0]["spans"].startswith("secret:15:55")
+    assert plain[100]["spans"] == "secret:14:22" and plain[101]["spans"] == plain[103]["spans"] == ""
+    for block in (pii.BLOCK, 1):  # many blocks of patterns give the same
+        assert {r.doc_id: r.asDict() for r in pii.find(clash, block=block).collect()} == plain
+        masked = pii.mask(clash, block=block)
+        assert masked.columns == clash.columns and masked.where("doc_id = 100").first().text == 'here token = "[SECRET]" is'
+
+
+def test_bootstrapping_by_definition(spark):
+    """All spans against a plain version that holds the whole graph in dictionaries."""
+    r = random.Random(12)
+    words = ["mail", "at", "to", "call", "id", "from", "and", "ref:", "no"]
+    make = [lambda: f"u{r.randrange(30)}@x.org", lambda: f"10.0.0.{r.randrange(40)}", lambda: f"+1 555 010 {r.randrange(1000, 1040)}", lambda: f"a_{r.randrange(20)}", lambda: f"{r.randrange(99)}-{r.randrange(9)}"]
+    texts = []
+    for _ in range(150):
+        parts = []
+        for _ in range(r.randrange(0, 8)):
+            k = r.randrange(5)
+            parts += [words[k] if r.random() < 0.8 else r.choice(words), make[min(k, 2) if r.random() < 0.85 else r.randrange(5)](), r.choice(words)]
+        texts.append(" ".join(parts))
+    edges = {}
+    for t in texts:
+        for m in pii.mentions(t, pii.base_spans(t)):
+            for p in m["p"]:
+                edges[p, m["i"]] = max(m["k"], edges.get((p, m["i"]), -2))
+    known = {}
+    for (p, i), k in edges.items():
+        if k >= 0:
+            known[i] = (k, 1.0)
+    seeds = dict(known)
+    for _ in range(pii.ROUNDS):
+        of = {}
+        for p, i in edges:
+            of.setdefault(p, []).append(i)
+        trusted = {}
+        for p, strings in of.items():
+            for kind in range(4):
+                own = [known[i][1] for i in strings if i in known and known[i][0] == kind]
+                if own and sum(own) / len(strings) >= pii.TRUST and sum(c >= pii.TRUST for c in own) >= pii.SUPPORT:
+                    trusted[p] = (kind, sum(own) / len(strings))
+        reached = {}
+        for (p, i), k in edges.items():
+            if k == -1 and p in trusted:
+                kind, conf = trusted[p]
+                at = reached.setdefault(i, {})
+                at[kind] = at.get(kind, 1.0) * max(1 - conf, 1e-6)
+        known = dict(seeds)
+        for i, at in reached.items():
+            kind = min(at, key=lambda x: (at[x], x))
+            known.setdefault(i, (kind, min(1 - at[kind], 0.999999)))
+    want = {}
+    for d, t in enumerate(texts):
+        base = pii.base_spans(t)
+        spans = list(base)
+        for m in pii.mentions(t, base):
+            hits = [(trusted[p][1], -trusted[p][0]) for p in m["p"] if p in trusted]
+            if m["k"] < 0 and hits:
+                spans.append((-max(hits)[1], m["s"], m["e"]))
+        want[d] = ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    got = {r.doc_id: r for r in pii.find(frame(spark, list(enumerate(texts)))).collect()}
+    assert {d: x.spans for d, x in got.items()} == want
+    assert sum(x.n_added for x in got.values()) > 10
+
+
 def test_identifiers_in_groups():
     found = lambda t: [t[x["s"] : x["e"]] for x in pii.mentions(t, pii.base_spans(t)) if x["k"] < 0]
     assert found("call 555 123 4567, 3 times") == ["555 123 4567", "3"]
