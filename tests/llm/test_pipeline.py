@@ -35,7 +35,7 @@ def expected(rows, item):
     """The documents and texts that stay, by the plainest means."""
     left = [(d, t) for d, t in rows if not re.search("grump[o0]ld", t or "")]
     first = {}
-    for d, _, c in brute(left, 5, 80, 100):
+    for d, _, c, _ in brute(left, 5, 80, 100):
         first.setdefault(c, d)
     heads, out = {c for c in first}, []
     for d, t in left:

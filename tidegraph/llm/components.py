@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.lineage import cut
+from tidegraph.llm.skew import join_spread
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,8 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points the larger neighbours of a node, then its smaller ones, at
     the smallest neighbour, until nothing moves; the number of rounds grows with
-    the logarithm of the longest path.  Rows are joined and counted by node with
-    partial sums, so a node with very many edges is no single task.
+    the logarithm of the longest path.  The edges of a node that has very many are
+    spread over tasks.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_spread(both, low, ["a"], total=2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select("b", "m").where("b <> m").unionByName(down.select(F.col("a").alias("b"), "m"))
         edges = cut(small.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())

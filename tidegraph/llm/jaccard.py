@@ -5,21 +5,25 @@
    space is cut into parts by hash, more parts than two linked sets can differ in,
    so that linked sets agree on some parts.  Classes that share a part's
    content are candidates, unless one of them shares fewer parts with all others
-   than linked sets must, and the components of candidates are the first regions; classes in different regions cannot link.  (Unrelated texts are all
-   at distance 1 from any pivot, so pivots alone would put every document into
-   every window.)
+   than linked sets must, and the components of candidates are the first regions;
+   classes in different regions cannot link.  (Unrelated texts are all at distance
+   1 from any pivot, so pivots alone would put every document into every window.)
    A region that is too large for a task, because its texts share common lines, is
    covered anew by its rarest shingles, counted over the region.
-3. A region is a metric space.  Pivots cut it into Voronoi cells; a class goes to
-   its nearest pivot's cell if that is within a radius, else to the outer cell, and
-   also to the cells of pivots within the radius and the threshold that are at most
-   twice the threshold farther (triangle inequality), so two linked classes always
-   meet and a class far from all pivots is in one cell.
-   Cells join recursively; classes that are connected already are not compared
-   again, and small cells are joined over their rarest shingles.
-
-Regions beyond ``REGION`` shingles are cut into cells by Spark and, where a cell
-stays large, into blocks that meet in pairs; no task holds more than two blocks.
+3. A region is a metric space.  Pivots cut it into Voronoi cells: a class belongs to
+   its nearest pivot's cell if that is within a radius, else to the outer cell.  A
+   cell's window holds the classes of later cells that may link into it: by the
+   triangle inequality those within the radius and the threshold of its pivot, and
+   at most twice the threshold farther from it than from their own.  Cells with
+   their windows join recursively, and two classes are compared in the cell of the
+   first of them only.  What pivots divide no further is compared by counting
+   common shingles for all of it at once.
+
+Every link between different sets is found and counted; of the links only as many
+are given out as connect the classes, since a group of near copies has a link for
+each two of them.  Regions beyond ``REGION`` shingles are cut into cells by Spark
+and, where a cell stays large, into blocks that meet in pairs; no task holds more
+than two blocks.
 """
 
 from __future__ import annotations
@@ -33,18 +37,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.llm.components import components
-from tidegraph.llm.lineage import cut, release
-from tidegraph.llm.textkit import Words, chunks, combine, mix
+from tidegraph.llm.lineage import bytes_of, cut, free_name, release
+from tidegraph.llm.skew import join_spread
+from tidegraph.llm.textkit import Words, chunks, combine, mix, tidy
 
 _U64 = np.uint64
 #: Shingles of a region that one task joins at most, and pivots of a larger one.
 REGION, PIVOTS = 6_000_000, 8
 #: Radius of a pivot's cell.
 RADIUS = 0.5
-#: Sets of a cell that is joined without further pivots.
-LEAF = 96
-#: Buckets of keys that a shuffle partition works through one by one.
-BUCKETS_EACH = 4
+#: Sets of a cell that is joined without further pivots, pivots of a task's cell, and how deep cells nest.
+LEAF, TASK_PIVOTS, DEPTH = 8, 4, 12
+#: Sets from which on a cell that pivots do not divide is cut by its rarest shingles first.
+WIDE = 512
+#: Buckets of keys that a shuffle partition works through one by one, at least; bytes of input for a bucket; keys of a bucket that a task holds.
+BUCKETS_EACH, BUCKET_BYTES, BUCKET_KEYS = 4, 8 << 20, 2_000_000
 GROWTH = 1.3
 
 
@@ -59,7 +66,8 @@ class Rule:
         while self.low[-1] < 1 << 40:
             self.low.append(max(self.low[-1] + 1, int(self.low[-1] * GROWTH)))
 
-    def linked(self, common: int, a: int, b: int) -> bool:
+    def linked(self, common, a, b):
+        """Whether sets of these sizes with so many common shingles link; numbers or arrays."""
         return self.under * common >= self.over * (a + b - common)
 
     def differ(self, a: int, b: int) -> int:
@@ -133,7 +141,7 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
                 node.append(class_of(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64())], names=["doc", "tag", "n", "node"])
 
-    return docs.select("doc", "tag", "text").mapInArrow(run, "doc long, tag long, n long, node long")
+    return docs.select("doc", "tag", "text").mapInArrow(tidy(run), "doc long, tag long, n long, node long")
 
 
 def _shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -145,7 +153,7 @@ def _shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     import zstandard
 
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * BUCKETS_EACH
+    buckets = max(partitions * BUCKETS_EACH, (bytes_of(docs) or 0) // BUCKET_BYTES)
     names = ["bucket", "key", "node", "need", "pack"]
 
     def grouped(key: np.ndarray, node: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -200,34 +208,39 @@ def _shared_keys(docs: DataFrame, rule: Rule) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
 
-        def solve(packs: list[bytes]) -> pa.RecordBatch:
-            keys, nodes, needs = [], [], []
-            for raw in map(expand.decompress, packs):
-                n = len(raw) // 20
-                steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view(np.uint64)
-                keys.append(np.cumsum(steps, dtype=np.uint64))
-                nodes.append(np.frombuffer(raw, np.int64, n, 8 * n))
-                needs.append(np.frombuffer(raw, np.int32, n, 16 * n))
-            key, node, need, _, several = grouped(np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs))
-            return pa.RecordBatch.from_arrays([pa.array(key[several].view(np.int64)), pa.array(node[several]), pa.array(need[several])], names=names[1:4])
-
-        now, packs = None, []
+        def unpacked(pack: bytes) -> tuple[np.ndarray, ...]:
+            raw = expand.decompress(pack)
+            n = len(raw) // 20
+            steps = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n).reshape(8, n).T).reshape(-1).view(np.uint64)
+            return np.cumsum(steps, dtype=np.uint64), np.frombuffer(raw, np.int64, n, 8 * n), np.frombuffer(raw, np.int32, n, 16 * n)
+
+        def solve(parts: list[tuple[np.ndarray, ...]], whole: bool) -> pa.RecordBatch:
+            key, node, need, _, several = grouped(*(np.concatenate([p[c] for p in parts]) for c in range(3)))
+            some = several if whole else np.ones(len(key), bool)
+            return pa.RecordBatch.from_arrays([pa.array(key[some].view(np.int64)), pa.array(node[some]), pa.array(need[some])], names=names[1:4])
+
+        now, parts, size, whole = None, [], 0, True
         for b in batches:
             known = b.filter(b.column(1).is_valid())
             if known.num_rows:
                 yield pa.RecordBatch.from_arrays(known.columns[1:4], names=names[1:4])
             rest = b.filter(b.column(4).is_valid())
-            for bucket, pack in zip(rest.column(0).to_pylist(), rest.column(4).to_pylist()):
-                if bucket != now and packs:
-                    yield solve(packs)
-                    packs = []
-                now = bucket
-                packs.append(pack)
-        if packs:
-            yield solve(packs)
-
-    rows = docs.select("text").mapInArrow(local, "bucket int, key long, node long, need int, pack binary")
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "key long, node long, need int")
+            for bucket, pack in zip(rest.column(0).to_pylist(), rest.column(4)):
+                if bucket != now:
+                    if parts:
+                        yield solve(parts, whole)
+                    now, parts, size, whole = bucket, [], 0, True
+                parts.append(unpacked(pack.as_py()))
+                size += len(parts[-1][0])
+                if size > BUCKET_KEYS:  # too many to hold: the keys go on as they are, with those that one class has
+                    whole = False
+                    yield solve(parts, whole)
+                    parts, size = [], 0
+        if parts:
+            yield solve(parts, whole)
+
+    rows = docs.select("text").mapInArrow(tidy(local), "bucket int, key long, node long, need int, pack binary")
+    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "key long, node long, need int")
 
 
 def _candidates(docs: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
@@ -238,116 +251,188 @@ def _candidates(docs: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
     has any more; common lines and passages alone do not connect texts.
     """
     rows = cut(_shared_keys(docs, rule).distinct())
+    total = rows.count()
     for _ in range(rounds):
         enough = rows.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND(F.lit(65535)))
         rows = rows.join(enough.select("node", "need"), ["node", "need"], "left_semi")
-        lead = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b <> z")
-        rows = cut(rows.join(lead, "key").select("key", "node", "need", "b"))
+        lead = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z"), F.count("*").alias("_n")).where("b <> z")
+        rows = cut(join_spread(rows, lead.drop("_n"), ["key"], total=total, share=lead.select("key", "_n")).select("key", "node", "need", "b"))
         pairs, rows = rows.select(F.col("node").alias("a"), "b"), rows.drop("b")
     return pairs.where("a <> b").distinct()
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, labels: list[int]):
-        first: dict[int, int] = {}
-        self.up = [first.setdefault(x, k) for k, x in enumerate(labels)]
-
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
 class Region:
-    """Exact join of the sets of one region; only links that connect something new are kept."""
+    """Exact join of the sets of one region.
 
-    def __init__(self, sets: list[np.ndarray], rule: Rule, labels: list[int] | None = None):
-        self.arrays, self.rule = sets, rule
-        self.forest = Forest(labels if labels is not None else list(range(len(sets))))
-        self.links: list[tuple[int, int]] = []
-        self.least = (rule.under - rule.over) / rule.under + 1e-9
-
-    def common(self, a: int, b: int) -> int:
-        return len(np.intersect1d(self.arrays[a], self.arrays[b], assume_unique=True))
+    ``links`` counts the documents of the classes that link with each set; ``edges``
+    are links that connect all that links connect.  ``masks`` keep pairs apart that
+    another task compares: two sets whose masks share a bit are no pair here.
+    """
 
-    def try_link(self, a: int, b: int) -> float:
-        """Distance of two sets; links them if it is small enough."""
-        c, na, nb = self.common(a, b), len(self.arrays[a]), len(self.arrays[b])
-        if self.rule.linked(c, na, nb) and self.forest.root(a) != self.forest.root(b):
-            self.links.append((a, b))
-            self.forest.join(a, b)
-        return 1 - c / (na + nb - c)
+    def __init__(self, sets: list[np.ndarray], rule: Rule, weights: list[int] | None = None, masks: list[int] | None = None):
+        n = len(sets)
+        self.rule, self.size = rule, np.array([len(s) for s in sets])
+        self.flat, at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.columns = np.split(at.astype(np.int32), np.cumsum(self.size)[:-1])
+        self.weights = np.ones(n, np.int64) if weights is None else np.array(weights, np.int64)
+        self.masks = np.zeros(n, np.int64) if masks is None else np.array(masks, np.int64)
+        self.links = np.zeros(n, np.int64)
+        self.label = np.arange(n)
+        self.edges: list[tuple[int, int]] = []
+        self.least = (rule.under - rule.over) / rule.under + 1e-9
+        #: cells that pivots made, and sets in their windows
+        self.cells = self.windowed = 0
+
+    def join(self) -> None:
+        self._run(np.arange(len(self.size)), self.masks, 0)
+
+    def _distances(self, members: np.ndarray, pivot: int) -> np.ndarray:
+        mark = np.zeros(len(self.flat), bool)
+        mark[self.columns[pivot]] = True
+        size = self.size[members]
+        hits = mark[np.concatenate([self.columns[x] for x in members])]
+        common = np.add.reduceat(hits.astype(np.int64), np.cumsum(size) - size)
+        return 1 - common / (size + self.size[pivot] - common)
+
+    def _run(self, members: np.ndarray, masks: np.ndarray, depth: int) -> None:
+        n = len(members)
+        if n <= LEAF or depth >= DEPTH:
+            return self._leaf(members, masks)
+        far = [self._distances(members, members[0])]
+        while len(far) < TASK_PIVOTS:  # the next pivot is the set that is farthest from all so far
+            far.append(self._distances(members, members[np.min(far, 0).argmax()]))
+        d = np.stack(far, 1)
+        near = d.min(1)
+        own = np.where(near <= RADIUS, d.argmin(1), TASK_PIVOTS)
+        reach = np.minimum(near + 2 * self.least, RADIUS + self.least)
+        cells = []
+        for k in range(TASK_PIVOTS + 1):
+            inner = own == k
+            window = (own > k) & (d[:, k] <= reach) if k < TASK_PIVOTS else np.zeros(n, bool)
+            if inner.any():
+                cells.append((inner | window, window))
+        if max(c.sum() for c, _ in cells) > 0.9 * n:
+            return self._leaf(members, masks)
+        for cell, window in cells:
+            self.cells += 1
+            self.windowed += int(window.sum())
+            self._run(members[cell], (masks | window.astype(np.int64) << (depth + 3))[cell], depth + 1)
+
+    def _leaf(self, members: np.ndarray, masks: np.ndarray) -> None:
+        """Join what pivots do not divide; a wide cell by its rarest shingles, of which linked sets share one."""
+        if len(members) < 2:
+            return
+        parts = self._by_rarest(members) if len(members) > WIDE else np.zeros(len(members), np.int64)
+        for part in np.unique(parts):
+            own = parts == part
+            self._compare(members[own], masks[own])
+
+    def _by_rarest(self, members: np.ndarray) -> np.ndarray:
+        """Component of each set by the first shingles of each, rarest first: as many as linked sets cannot all differ in."""
+        often = np.zeros(len(self.flat), np.int64)
+        for x in members:
+            often[self.columns[x]] += 1
+        up = list(range(len(members)))
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
 
-    def run(self, members: list[int], depth: int = 0) -> None:
-        if len({self.forest.root(x) for x in members}) < 2:
+        first: dict[int, int] = {}
+        for k, x in enumerate(members):
+            c = self.columns[x]
+            keep = len(c) - -(-self.rule.over * len(c) // self.rule.under) + 1
+            for h in c[np.lexsort((c, often[c]))[:keep]].tolist():
+                a, b = root(first.setdefault(h, k)), root(k)
+                up[max(a, b)] = min(a, b)
+        return np.array([root(k) for k in range(len(members))])
+
+    def _compare(self, members: np.ndarray, masks: np.ndarray) -> None:
+        """Count the common shingles of all pairs and keep what links."""
+        n = len(members)
+        if n < 2:
             return
-        if len(members) <= LEAF or depth > 8:
-            return self.leaf(members)
-        step = max(1, len(members) // 4)
-        pivots = members[::step][:4]
-        far = [[0.0 if x == p else self.try_link(x, p) for p in pivots] for x in members]
-        if len({self.forest.root(x) for x in members}) < 2:
+        size = self.size[members]
+        column = np.concatenate([self.columns[x] for x in members])
+        row = np.repeat(np.arange(n), size)
+        often = np.bincount(column, minlength=len(self.flat))
+        shared = often[column] > 1
+        kinds, column = np.unique(column[shared], return_inverse=True)
+        row, often = row[shared], often[kinds].astype(float)
+        if not len(kinds):
             return
-        cells: list[list[int]] = [[] for _ in range(len(pivots) + 1)]
-        for x, d in zip(members, far):
-            near = min(d)
-            for k, v in enumerate(d):
-                if v <= min(near + 2 * self.least, RADIUS + self.least):
-                    cells[k].append(x)
-            if near > RADIUS:
-                cells[-1].append(x)
-        if max(map(len, cells)) > 0.8 * len(members):
-            return self.leaf(members)
-        for cell in cells:
-            self.run(cell, depth + 1)
-
-    def leaf(self, members: list[int]) -> None:
-        """Join over the rarest shingles: linked sets share one of the first that linked sets of their size must."""
-        flat, n = np.unique(np.concatenate([self.arrays[x] for x in members]), return_counts=True)
-        index: dict[int, list[int]] = {}
-        for x in sorted(members, key=lambda x: (len(self.arrays[x]), x)):
-            s = self.arrays[x]
-            size = len(s)
-            order = np.lexsort((s, n[np.searchsorted(flat, s)]))
-            least = -(-self.rule.over * size // self.rule.under)
-            met = set()
-            for h in s[order[: size - least + 1]].tolist():
-                held = index.setdefault(h, [])
-                for y in held:
-                    if y not in met:
-                        met.add(y)
-                        if self.forest.root(x) != self.forest.root(y) and self.rule.under * len(self.arrays[y]) >= self.rule.over * size:
-                            self.try_link(x, y)
-                held.append(x)
+        if n * float(n) * len(kinds) / 100 < (often**2).sum() + 1e4 * n:
+            step = max(16, (1 << 21) // len(kinds))
+            cut_at = np.searchsorted(row, np.arange(0, n + step, step))
+
+            def dense(k: int) -> np.ndarray:
+                out = np.zeros((min(step, n - k * step), len(kinds)), np.float32)
+                part = slice(cut_at[k], cut_at[k + 1])
+                out[row[part] - k * step, column[part]] = 1
+                return out
+
+            blocks = range(-(-n // step))
+            for i in blocks:
+                a = dense(i)
+                for j in range(i, len(blocks)):
+                    self._keep(members, masks, size, i * step, j * step, a @ (a if j == i else dense(j)).T)
+        else:
+            order = np.argsort(column, kind="stable")
+            begin = np.searchsorted(column[order], np.arange(len(kinds) + 1))
+            holders = row[order]
+            own = np.searchsorted(row, np.arange(n + 1))
+            for x in range(n):
+                c = column[own[x] : own[x + 1]]
+                length = begin[c + 1] - begin[c]
+                at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(begin[c], length)
+                self._keep(members, masks, size, x, 0, np.bincount(holders[at], minlength=n)[None, :])
+
+    def _keep(self, members: np.ndarray, masks: np.ndarray, size: np.ndarray, i: int, j: int, common: np.ndarray) -> None:
+        """Links among the pairs of rows from i on and from j on, the first before the second."""
+        a, b = np.arange(i, i + common.shape[0]), np.arange(j, j + common.shape[1])
+        linked = self.rule.linked(np.rint(common).astype(np.int64), size[a][:, None], size[b][None, :])
+        linked &= (a[:, None] < b[None, :]) & ((masks[a][:, None] & masks[b][None, :]) == 0)
+        if not linked.any():
+            return
+        self.links[members[a]] += linked @ self.weights[members[b]]
+        self.links[members[b]] += linked.T @ self.weights[members[a]]
+        for r in np.flatnonzero(linked.any(1)):
+            x, others = members[a[r]], members[b[linked[r]]]
+            labels, first = np.unique(self.label[others], return_index=True)
+            for other, at in zip(labels.tolist(), first.tolist()):
+                mine = self.label[x]
+                if other != mine:
+                    self.edges.append((int(x), int(others[at])))
+                    self.label[self.label == max(mine, other)] = min(mine, other)
 
 
 def _join_groups(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b) inside each group of rows (g, node, label, text); groups are of bounded size."""
+    """Links (a, b) that connect, and documents n that link with a class a (b null), inside each group of rows (g, i, j, node, docs, mask, text); groups are of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple[tuple, int, int, np.ndarray]]:
+        def stream() -> Iterator[tuple[tuple, int, int, int, np.ndarray]]:
             for b in batches:
-                g = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-                yield from zip(g, b.column(3).to_pylist(), b.column(4).to_pylist(), shingle_sets(b.column(5), rule.words))
+                for k in range(0, b.num_rows, 64):
+                    c = b.slice(k, 64)
+                    g = list(zip(*(c.column(x).to_pylist() for x in range(3))))
+                    yield from zip(g, *(c.column(x).to_pylist() for x in (3, 4, 5)), shingle_sets(c.column(6), rule.words))
 
         for _, group in itertools.groupby(stream(), key=lambda r: r[0]):
-            _, nodes, labels, sets = zip(*group)
-            region = Region(list(sets), rule, list(labels))
-            region.run(list(range(len(nodes))))
-            if region.links:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([nodes[a] for a, _ in region.links], pa.int64()), "b": pa.array([nodes[b] for _, b in region.links], pa.int64())})
+            _, nodes, docs, masks, sets = zip(*group)
+            if len(nodes) < 2:
+                continue
+            region = Region(list(sets), rule, list(docs), list(masks))
+            region.join()
+            some = np.flatnonzero(region.links)
+            if len(some):
+                a, b = [nodes[x] for x, _ in region.edges], [nodes[y] for _, y in region.edges]
+                none = [None] * len(some)
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a + [nodes[x] for x in some], pa.int64()), "b": pa.array(b + none, pa.int64()), "n": pa.array([None] * len(a) + region.links[some].tolist(), pa.int64())})
 
     keys = ["g", "i", "j"]
-    return rows.select(*keys, "node", "label", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+    return rows.select(*keys, "node", "docs", "mask", "text").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def _refined(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -365,7 +450,7 @@ def _refined(rows: DataFrame, rule: Rule) -> DataFrame:
                 size = np.array([len(s) for s in sets])
                 yield pa.RecordBatch.from_pydict({"g": np.repeat(c.column(0).to_numpy(), size), "node": np.repeat(c.column(1).to_numpy(), size), "n": np.repeat(c.column(2).to_numpy(), size), "s": np.concatenate(sets).view(np.int64)})
 
-    each = rows.select("g", "node", "n", "text").mapInArrow(spread, "g long, node long, n long, s long")
+    each = rows.select("g", "node", "n", "text").mapInArrow(tidy(spread), "g long, node long, n long, s long")
     often = each.groupBy("g", "s").agg(F.count("*").alias("df"))
     ranked = each.join(often, ["g", "s"]).groupBy("g", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     first = (F.col("n") - F.ceil(F.lit(rule.over) * F.col("n") / rule.under) + 1).cast("int")
@@ -374,44 +459,49 @@ def _refined(rows: DataFrame, rule: Rule) -> DataFrame:
     return components(keys.join(lead, ["g", "s"]).select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("part"))
 
 
-def _large_regions(rows: DataFrame, rule: Rule, region: int, pivots: int) -> tuple[DataFrame, DataFrame]:
-    """Of regions beyond the bound: the links to pivots, and the rows of cells and pairs of blocks that are left to join."""
+def _large_regions(rows: DataFrame, rule: Rule, pivots: int, region: int) -> DataFrame:
+    """The rows (g, i, j, node, docs, mask, text) of cells and pairs of blocks of regions beyond the bound; ``rows`` have the number of shares of their region."""
     salt = F.pmod(F.xxhash64("node"), F.lit(pivots))
-    chosen = rows.groupBy("g", salt.alias("s")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), F.col("node").alias("pivot"))).alias("x")).select("g", F.col("x.pivot").alias("pivot"))
-    with_text = chosen.join(rows.select(F.col("g"), F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), ["g", "pivot"])
+    chosen = rows.groupBy("g", "shares", salt.alias("s")).agg(F.min(F.struct(F.xxhash64("node", F.lit(7)).alias("h"), F.col("node").alias("pivot"))).alias("x")).select("g", "shares", F.col("x.pivot").alias("pivot"))
+    of_pivots = chosen.join(rows.select("g", F.col("node").alias("pivot"), F.col("text").alias("pivot_text")), ["g", "pivot"])
+    # a region's rows meet its pivots in shares of bounded size
+    of_pivots = of_pivots.select("g", "pivot", "pivot_text", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    own_share = F.pmod(F.xxhash64("node", F.lit(5)), F.col("shares")).cast("int")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            out, links = [], []
+            out = []
             texts = b.column(4)
             pivots_of = b.column(2).to_pylist()
-            for k, p in enumerate(pivots_of):
+            for k, (p, s) in enumerate(zip(pivots_of, shingle_sets(b.column(3), rule.words))):
                 if p not in held:
                     if len(held) > 64:
                         held.clear()
                     held[p] = next(shingle_sets(texts.slice(k, 1), rule.words))
-            for p, s in zip(pivots_of, shingle_sets(b.column(3), rule.words)):
-                q = held[p] if p in held else None
+                q = held[p]
                 c = len(np.intersect1d(s, q, assume_unique=True))
                 out.append(1 - c / (len(s) + len(q) - c))
-                links.append(rule.linked(c, len(s), len(q)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.float64()), pa.array(links, pa.bool_())], names=["g", "node", "pivot", "d", "linked"])
-
-    far = cut(rows.select("g", "node", "text").join(with_text, "g").select("g", "node", "pivot", "text", "pivot_text").mapInArrow(measure, "g long, node long, pivot long, d double, linked boolean"))
-    links = far.where("linked and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    label = components(links)
-    rows = rows.join(label.select("node", F.col("component").alias("joined")), "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
-    near = far.groupBy("g", "node").agg(F.min("d").alias("near"))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.float64())], names=["g", "node", "pivot", "d"])
+
+    meet = rows.select("g", "node", "text", own_share.alias("share")).join(of_pivots, ["g", "share"])
+    far = cut(meet.select("g", "node", "pivot", "text", "pivot_text").mapInArrow(tidy(measure), "g long, node long, pivot long, d double"))
     least = (rule.under - rule.over) / rule.under + 1e-9
-    inner = far.join(near, ["g", "node"]).where(F.col("d") <= F.least(F.col("near") + 2 * least, F.lit(RADIUS + least))).select("node", F.col("pivot").alias("cell"))
-    outer = near.where(F.col("near") > RADIUS).select("node", F.xxhash64("g", F.lit("outer")).alias("cell"))
-    cells = inner.unionByName(outer).join(rows.drop("g"), "node").withColumnRenamed("cell", "g")
-    state = cells.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("n").alias("size")).where("l0 <> l1")
-    cells = cells.join(state.select("g", F.ceil(2 * F.col("size") / region).cast("int").alias("blocks")), "g")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    best = far.groupBy("g", "node").agg(F.min(F.struct("d", "pivot")).alias("best")).select("g", "node", F.col("best.d").alias("near"), F.when(F.col("best.d") <= RADIUS, F.col("best.pivot")).alias("own"))
+    inner = F.coalesce(F.col("pivot") == F.col("own"), F.lit(False))
+    later = F.coalesce(F.col("own") > F.col("pivot"), F.lit(True))
+    window = later & ~inner & (F.col("d") <= F.least(F.col("near") + 2 * least, F.lit(RADIUS + least)))
+    within = far.join(best, ["g", "node"]).where(inner | window).select("node", F.col("pivot").alias("cell"), window.cast("int").alias("window"))
+    outer = best.where("own is null").select("node", F.xxhash64("g", F.lit("outer")).alias("cell"), F.lit(0).alias("window"))
+    cells = cut(within.unionByName(outer).join(rows.select("node", "n"), "node"))
+    blocks = cells.groupBy("cell").agg(F.ceil(2 * F.sum("n") / region).cast("int").alias("blocks"))
+    cells = join_spread(cells, blocks, ["cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j")))
-    return links, cells.select("g", "node", "label", "text", F.explode(pairs).alias("x")).select("g", "x.i", "x.j", "node", "label", "text")
+    placed = cells.select("node", "cell", "window", "block", F.explode(pairs).alias("x"))
+    # sets of a window are no pairs with each other, nor sets of one block where two blocks meet
+    side = F.when(F.col("x.i") == F.col("x.j"), 0).when(F.col("block") == F.col("x.i"), 2).otherwise(4)
+    placed = placed.select("node", F.col("cell").alias("g"), "x.i", "x.j", (F.col("window") + side).cast("long").alias("mask"))
+    return placed.join(rows.select("node", "docs", "text"), "node").select("g", "i", "j", "node", "docs", "mask", "text")
 
 
 def _first(doc: str = "doc", tag: str = "tag") -> Column:
@@ -420,57 +510,56 @@ def _first(doc: str = "doc", tag: str = "tag") -> Column:
 
 
 def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region: int, pivots: int) -> DataFrame:
-    """doc, tag, n and rep, the first document (none, doc, tag) of its component."""
+    """doc, tag, n, n_links and rep, the first document (none, doc, tag) of its component."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
     sets = cut(_sets(docs, rule))
     groups = cut(components(_candidates(docs, rule)).select("node", F.col("component").alias("g")))
-    classes = sets.where("node is not null").groupBy("node").agg(F.min(_first()).alias("first"), F.first("n").alias("n"))
-    sized = cut(groups.join(classes, "node").select("g", "node", "n", "first.none", "first.doc", "first.tag"))
+    classes = sets.where("node is not null").groupBy("node").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.count("*").alias("docs"))
+    sized = cut(groups.join(classes, "node").select("g", "node", "n", "docs", "first.none", "first.doc", "first.tag"))
     weight = cut(sized.groupBy("g").agg(F.sum("n").alias("size")))
     release(docs.sparkSession)
-    members = sized.join(weight.select("g", (F.col("size") > region).alias("large")), "g")
+    members = join_spread(sized, weight.select("g", (F.col("size") > region).alias("large")), ["g"])
 
     # an id and a text that repeat are one row here
-    own = docs.alias("d").join(members.alias("m"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.large", "d.text")
+    own = docs.alias("d").join(members.alias("m"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.docs", "m.large", "d.text")
     small = weight.where(F.col("size") > region).isEmpty()
     rows = own.dropDuplicates(["node"]) if small else cut(own.dropDuplicates(["node"]))
-    one = rows.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text")
-    if small:
-        links = _join_groups(one, rule)
-    else:
+    whole = lambda df: df.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "docs", F.lit(0).cast("long").alias("mask"), "text")
+    one = whole(rows.where("not large"))
+    if not small:
         wide = rows.where("large").drop("large")
         wide = cut(wide.join(_refined(wide, rule), "node").drop("g").withColumnRenamed("part", "g"))
-        still = wide.groupBy("g").agg((F.sum("n") > region).alias("large"))
-        wide = wide.join(still, "g")
-        one = one.unionByName(wide.where("not large").select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.col("node").alias("label"), "text"))
-        if still.where("large").isEmpty():
-            links = _join_groups(one, rule)
-        else:
-            near, cells = _large_regions(wide.where("large").drop("large"), rule, region, pivots)
-            links = _join_groups(one.unionByName(cells), rule).unionByName(near)
-    found = components(links)
-    named = found.join(classes.select("node", "first"), "node")
+        shares = wide.groupBy("g").agg(F.ceil(F.sum("n") / region).cast("int").alias("shares"))
+        wide = cut(join_spread(wide, shares, ["g"]))
+        one = one.unionByName(whole(wide.where("shares = 1")))
+        if not wide.where("shares > 1").isEmpty():
+            one = one.unionByName(_large_regions(wide.where("shares > 1"), rule, pivots, region))
+    links = cut(_join_groups(one, rule))
+    found = components(links.where("b is not null").select("a", "b"))
+    counted = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+    named = cut(found.join(classes.select("node", "first"), "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("rep"))
-    linked = named.join(smallest, "component").select("node", "rep")
-    of_class = classes.join(linked, "node", "left").select("node", F.coalesce("rep", "first").alias("rep"))
-    return sets.select("doc", "tag", "n", "node").join(of_class, "node", "left").select("doc", "tag", "n", F.coalesce("rep", _first()).alias("rep"))
+    linked = join_spread(named, smallest, ["component"]).select("node", "rep")
+    of_class = classes.join(linked, "node", "left").join(counted, "node", "left").select("node", F.coalesce("rep", "first").alias("rep"), (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return join_spread(sets, of_class, ["node"], "left").select("doc", "tag", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("rep", _first()).alias("rep"))
 
 
 def join(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included).
+    """One row a document: doc_id, n_shingles, component_id (the smallest id reachable by links, its own included) and n_links (other documents that it links with).
 
     A null or empty text has no shingle and no link.  Rows that repeat an id are
     separate documents; a null id is kept and counts as the largest.  An empty
     table gives an empty result.  Other columns are ignored.
     """
     rows = _components(docs, rule, id_col, text_col, region, pivots)
-    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep.doc").alias("component_id"))
+    return rows.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("rep.doc").alias("component_id"), "n_links")
 
 
 def representatives(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text_col: str = "text", region: int = REGION, pivots: int = PIVOTS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are the first of their component; of rows with one id and text one stays."""
     rows = _components(docs, rule, id_col, text_col, region, pivots)
-    kept = rows.where(F.col("rep").eqNullSafe(_first())).select(F.col("doc").alias("_kept_doc"), F.col("tag").alias("_kept_tag")).distinct()
-    tagged = docs.withColumns({"_own_doc": F.col(id_col).cast("long"), "_own_tag": F.xxhash64(F.col(text_col).cast("string"))})
-    same = F.col("_own_doc").eqNullSafe(F.col("_kept_doc")) & (F.col("_own_tag") == F.col("_kept_tag"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["_own_doc", "_own_tag"]).select(*docs.columns)
+    doc, tag, kept_doc, kept_tag = (free_name(docs, x) for x in ("own_doc", "own_tag", "kept_doc", "kept_tag"))
+    kept = rows.where(F.col("rep").eqNullSafe(_first())).select(F.col("doc").alias(kept_doc), F.col("tag").alias(kept_tag)).distinct()
+    tagged = docs.withColumns({doc: F.col(id_col).cast("long"), tag: F.xxhash64(F.col(text_col).cast("string"))})
+    same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(tag) == F.col(kept_tag))
+    return tagged.join(kept, same, "left_semi").dropDuplicates([doc, tag]).select(*docs.columns)

@@ -29,6 +29,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bytes_of(df: DataFrame) -> int | None:
+    """Spark's estimate of the size of the rows, from the sizes of the files they come from; None where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 58 else None
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)
