@@ -289,8 +289,9 @@ def without_repeats(rows, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("k,m", [(13, 3), (4, 2), (3, 3)])
-def test_windows_by_brute_force(spark, k, m):
+@pytest.mark.parametrize("k,m,held", [(13, 3, 1 << 24), (4, 2, 1 << 24), (3, 3, 1 << 24), (4, 2, 300), (13, 3, 1000)])
+def test_windows_by_brute_force(spark, monkeypatch, k, m, held):
+    monkeypatch.setattr(substrings, "BUCKET_TEXT", held)  # buckets beyond it give out their windows one by one
     r = random.Random(k)
     passage = [f"p{i}" for i in range(25)]
     rows = []

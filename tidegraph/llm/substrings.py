@@ -7,7 +7,10 @@ windows have equal minimisers and so meet in one bucket, where sorting finds the
 smallest document of each window.  Super-k-mers of one batch for one bucket are
 packed and compressed together; a batch sends each distinct super-k-mer only for
 its smallest document and settles the others itself, so a passage that very many
-documents repeat takes a row a batch.
+documents repeat takes a row a batch.  The number of buckets follows the size of
+the input.  A bucket beyond what a task holds, because very many contexts share its
+minimiser, gives out its windows one by one, and these meet by their own hashes in a
+second shuffle, where each is settled as it streams by.
 """
 
 from __future__ import annotations
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lineage import cut, release
-from tidegraph.llm.textkit import Words, chunks, mix
+from tidegraph.llm.lineage import bytes_of, cut, release
+from tidegraph.llm.textkit import Words, chunks, mix, tidy
 
 WINDOW, MINIMISER = 13, 3
-#: Buckets that a shuffle partition works through one by one.
-BUCKETS_EACH = 4
+#: Buckets that a shuffle partition works through one by one, at least; bytes of input for a bucket; bytes of text of a bucket that a task holds.
+BUCKETS_EACH, BUCKET_BYTES, BUCKET_TEXT = 4, 4 << 20, 16 << 20
 #: Bytes of text that are packed together.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 16 << 20
 _U64 = np.uint64
 _LANES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U64(2) + _U64(1)
 
@@ -105,7 +108,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
 
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * BUCKETS_EACH
+    buckets = max(partitions * BUCKETS_EACH, (bytes_of(docs) or 0) // BUCKET_BYTES)
     k = window
     empty = np.zeros(0, np.int64)
 
@@ -177,10 +180,12 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
                     yield from flush()
         yield from flush()
 
-    def solve(blobs: list[bytes]) -> pa.RecordBatch:
-        expand = zstandard.ZstdDecompressor()
+    names = ["doc", "tag", "s", "e", "one", "two"]
+
+    def windows(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Two hashes, document, tag and first word of each window of unpacked super-k-mers."""
         parts = []
-        for raw in map(expand.decompress, blobs):
+        for raw in raws:
             (n,) = struct.unpack_from("<q", raw)
             cols = [np.frombuffer(raw, np.int64, n, 8 + 8 * n * c) for c in range(4)]
             parts.append((*cols, np.frombuffer(raw, np.uint8, offset=8 + 32 * n)))
@@ -190,34 +195,75 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
         one, place = window_hashes(w, h, k, 0)
         two, _ = window_hashes(w, h, k, 1)
         of = np.searchsorted(w.first, place, "right") - 1
-        owner = doc[of]
+        return one, two, doc[of], tag[of], at[of] + place - w.first[of]
+
+    def spans(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        out = _intervals(doc, tag, at, np.ones(len(doc), np.int64), k)
+        none = pa.nulls(out.num_rows, pa.int64())
+        return pa.RecordBatch.from_arrays([*out.columns, none, none], names=names)
+
+    def solve(raws: list[bytes]) -> pa.RecordBatch:
+        one, two, owner, tag, at = windows(raws)
         order = np.lexsort((owner, two, one))
         same = np.r_[False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
         least = owner[order][np.flatnonzero(~same)][np.cumsum(~same) - 1]
         late = np.zeros(len(owner), bool)
         late[order] = owner[order] > least
         x = np.flatnonzero(late)
-        return _intervals(owner[x], tag[of[x]], at[of[x]] + place[x] - w.first[of[x]], np.ones(len(x), np.int64), k)
+        return spans(owner[x], tag[x], at[x])
+
+    def loose(raws: list[bytes]) -> pa.RecordBatch:
+        one, two, owner, tag, at = windows(raws)
+        return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(tag), pa.array(at), pa.nulls(len(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, blobs = None, []
+        expand = zstandard.ZstdDecompressor()
+        now, raws, size, whole = None, [], 0, True
         for b in batches:
-            known = b.column(1).is_valid()
-            settled = b.filter(known)
+            settled = b.filter(b.column(1).is_valid())
             if settled.num_rows:
-                yield pa.RecordBatch.from_arrays(settled.columns[1:5], names=["doc", "tag", "s", "e"])
+                none = pa.nulls(settled.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([*settled.columns[1:5], none, none], names=names)
             rest = b.filter(b.column(5).is_valid())
-            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(5).to_pylist()):
-                if bucket != now and blobs:
-                    yield solve(blobs)
-                    blobs = []
-                now = bucket
-                blobs.append(blob)
-        if blobs:
-            yield solve(blobs)
+            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(5)):
+                if bucket != now:
+                    if raws:
+                        yield solve(raws) if whole else loose(raws)
+                    now, raws, size, whole = bucket, [], 0, True
+                raws.append(expand.decompress(blob.as_py()))
+                size += len(raws[-1])
+                if size > BUCKET_TEXT:
+                    yield loose(raws)
+                    raws, size, whole = [], 0, False
+        if raws:
+            yield solve(raws) if whole else loose(raws)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows sorted by hashes and document: those behind the first document of theirs."""
+        last = None  # hashes and least document of the window that the batch before ended with
+        for b in batches:
+            doc, tag, at, one, two = (b.column(c).to_numpy() for c in range(5))
+            if not len(doc):
+                continue
+            new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]
+            least = doc[np.flatnonzero(new)]
+            if last is not None and last[:2] == (one[0], two[0]):
+                least[0] = last[2]
+            least = least[np.cumsum(new) - 1]
+            last = (one[-1], two[-1], least[-1])
+            late = doc > least
+            if late.any():
+                yield _intervals(doc[late], tag[late], at[late], np.ones(int(late.sum()), np.int64), k)
 
-    rows = docs.where("doc is not null and text is not null").select("doc", "tag", "text").mapInArrow(pack, "bucket int, doc long, tag long, s long, e long, pack binary")
-    return rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc long, tag long, s long, e long")
+    rows = docs.where("doc is not null and text is not null").select("doc", "tag", "text").mapInArrow(tidy(pack), "bucket int, doc long, tag long, s long, e long, pack binary")
+    met = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "doc long, tag long, s long, e long, one long, two long")
+    met = cut(met)
+    found = met.where("one is null").select("doc", "tag", "s", "e")
+    left = met.where("one is not null").select("doc", "tag", "s", "one", "two")
+    if left.isEmpty():
+        return found
+    late = left.repartition("one", "two").sortWithinPartitions("one", "two", "doc").mapInArrow(tidy(settle), "doc long, tag long, s long, e long")
+    return found.unionByName(late)
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, with_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -231,7 +277,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     if window < minimiser or minimiser < 1 or window > 256:
         raise ValueError("needs 1 <= minimiser <= window <= 256")
     part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
-    spans = cut(repeated_spans(part, window=window, minimiser=minimiser, batch_bytes=batch_bytes))
+    spans = repeated_spans(part, window=window, minimiser=minimiser, batch_bytes=batch_bytes)
     release(docs.sparkSession)  # the packed super-k-mers
     # twice the same span can come from two batches
     lists = spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
@@ -255,4 +301,4 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             n = 5 if with_text else 4
             yield pa.RecordBatch.from_arrays(cols[:n], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][:n])
 
-    return part.join(lists, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(run, ddl)
+    return part.join(lists, ["doc", "tag"], "left").select("doc", "text", "spans").mapInArrow(tidy(run), ddl)
