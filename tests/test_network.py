@@ -36,7 +36,7 @@ BRIDGE = graphs.from_edges([(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)], (0, 3))
 
 @pytest.mark.parametrize("name,g", [("grid3_counts", graphs.grid(3, (0, 8))), ("k6_counts", graphs.complete(6, 2))])
 def test_golden_counts(spark, name, g):
-    want = [int(x) for x in GOLDEN[name].split()]
+    want = [int(x) for x in GOLDEN[name]]
     assert counts(exact.enumerate_counts(spark, g)) == want
     m = len(g.edges)
     down = counts(exact.enumerate_counts(spark, g, disconnected=True))
@@ -56,7 +56,7 @@ def test_polynomial_and_merged_states(spark):
     assert value == pytest.approx(0.027497828593, abs=1e-12)
     assert exact.merged_states(spark, g, 0.9).first()[0] == pytest.approx(value, rel=1e-12)
     down = {r.n_edges: r.n for r in exact.merged_states(spark, g).collect()}
-    want = [int(x) for x in GOLDEN["grid3_counts"].split()]
+    want = [int(x) for x in GOLDEN["grid3_counts"]]
     assert all(down.get(k, 0) == math.comb(12, k) - want[k] for k in range(13))
     with pytest.raises(ValueError):
         exact.enumerate_counts(spark, graphs.complete(10, 2))
@@ -256,7 +256,10 @@ def test_harness(spark, tmp_path):
 def test_report_round_trip(spark):
     fs = formula.parse("e0-e1", 5)
     rows = exact.function_counts(exact.all_worlds(spark, 5), BRIDGE, fs)
-    back = exact.read_report(exact.report(rows).select(F.col("line").alias("value")))
+    lines = exact.report(rows, BRIDGE, ["e0-e1"])
+    back = exact.read_report(lines.select("value"))
+    with pytest.raises(Exception, match="not a line"):
+        exact.read_report(lines.select(F.regexp_replace("value", "value 1:", "val 1:").alias("value"))).collect()
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.select("n_edges", "value", "n").collect()))
     e = exact.function_expectation(rows, 5, 0.7).first().expectation
     assert e == pytest.approx(0, abs=1e-12)
@@ -271,3 +274,87 @@ def test_stream(spark, tmp_path):
     q.stop()
     got = {r.scenario_id: (r.mean, r.variance) for r in streaming.summary(spark.table("totals")).collect()}
     assert got == {1: (1.0, 0.5), 2: (3.0, None)}
+
+
+def test_thinning_by_definition(spark):
+    import random
+
+    r = random.Random(3)
+    m = 7
+    far = [[abs(a - b) * 1.0 for b in range(m)] for a in range(m)]
+    rows = [(k, [r.choice([1, 2, 4, 8]) for _ in range(m)]) for k in range(60)]
+    got = {x.obs_id: x.state for x in empirical.thin(spark.createDataFrame(rows, "obs_id long, state array<tinyint>"), far, 2.0).collect()}
+    for k, old in rows:
+        new, covered = [1] * m, set()
+        for e in range(m):
+            if old[e] in (2, 8) and e not in covered:
+                new[e] = 2
+                for j in range(e + 1, m):
+                    if old[j] in (2, 8) and j not in covered and far[e][j] <= 2:
+                        covered.add(j)
+                        new[j] = old[j] if old[j] == 2 else 8
+        assert got[k] == new
+
+
+def test_flows_and_large_cuts(spark):
+    from tidegraph.operators import flow
+
+    import random
+
+    r = random.Random(1)
+    for _ in range(20):
+        edges = [(r.randrange(7), r.randrange(7)) for _ in range(14)]
+        f = flow.arc_flows(edges, 0, 6)
+        assert flow.value(edges, f, 0) == mincut.max_flow(edges, 0, 6) == -flow.value(edges, f, 6)
+        assert all(flow.value(edges, f, v) == 0 for v in range(1, 6)) and max(map(abs, f)) <= 1
+    assert flow.mincut(spark, graphs.grid(9)).first().mincut == 2
+
+
+def test_archive_checks(spark, tmp_path):
+    from tidegraph.operators import archives
+
+    good = spark.createDataFrame([(0, 0, -1, [1]), (1, 0, 0, [2])], "level int, idx long, parent_idx long, state array<tinyint>")
+    archives.save(good, str(tmp_path / "t"), "tree")
+    assert archives.load(spark, str(tmp_path / "t")).count() == 2
+    with pytest.raises(ValueError, match="expected context"):
+        archives.load(spark, str(tmp_path / "t"), "context")
+    with pytest.raises(ValueError, match="one level up"):
+        archives.check_tree(good.withColumn("parent_idx", F.when(F.col("level") == 1, 5).otherwise(-1).cast("long")))
+    with pytest.raises(ValueError, match="not at level 0"):
+        archives.check_tree(good.withColumn("parent_idx", F.lit(-1).cast("long")))
+    with pytest.raises(ValueError, match="differ in length"):
+        archives.check_states(spark.createDataFrame([(0, [1]), (1, [1, 2])], "obs_id long, state array<tinyint>"))
+    with pytest.raises(ValueError, match="need"):
+        archives.save(good.drop("state"), str(tmp_path / "x"), "tree")
+    g = graphs.grid(3, (0, 8))
+    archives.save_context(spark, g, 0.9, str(tmp_path / "c"))
+    back, p = archives.load_context(spark, str(tmp_path / "c"))
+    assert (back, p, back.positions) == (g, 0.9, g.positions)
+    broken = spark.read.parquet(str(tmp_path / "c")).where("part <> 'edge' or k > 0")
+    archives.save(broken.drop("kind"), str(tmp_path / "d"), "context")
+    with pytest.raises(ValueError, match="arcs"):
+        archives.load_context(spark, str(tmp_path / "d"))
+
+
+def test_public_functions(spark, tmp_path):
+    from tidegraph import api
+
+    ring = [(0, 1), (1, 2), (2, 3), (3, 0)]
+    api.set_default_precision(30)
+    for disconnected in (False, True):
+        assert str(api.exhaustive_probability(api.exhaustive_search(spark, ring, (0, 2), disconnected), "0.9")) == "0.0361"
+    row = api.crude_mc(spark, ring, 0.5, 5000, 1, (0, 2)).first()
+    assert row.n == 5000 and row.estimate == pytest.approx(0.5625, abs=0.03)
+    path = str(tmp_path / "g")
+    api.approximate_zero_variance_wor_merge_with_variance(spark, ring, 0.9, 3, 1, (0, 2), graph_file=path)
+    assert spark.read.text(path).where("value like '%edge source%'").count() > 0
+    with pytest.raises(ValueError):
+        api.residual_resampling(spark, ring, 0.9, 3, -1, (0, 2))
+    with pytest.raises(ValueError, match="form"):
+        graphs.convert([[0, 1], [1, 0]])
+    assert len(graphs.convert([[0, 1], [1, 0]], form="matrix").edges) == 1
+    f = tmp_path / "f.txt"
+    f.write_text("e0+e1, e1*2")
+    assert len(formula.source(4, function_file=str(f))) == 2
+    with pytest.raises(formula.FormulaError):
+        formula.source(4)

@@ -131,3 +131,13 @@ def parse(text: str, edges: int) -> list[Formula]:
     if place < len(tokens):
         raise FormulaError(f"unexpected {tokens[place][1]!r}")
     return out
+
+
+def source(edges: int, *, function: str | None = None, function_file: str | None = None) -> list[Formula]:
+    """Formulas from a text or a file, exactly one of which is given."""
+    if (function is None) == (function_file is None):
+        raise FormulaError("exactly one of a function and a function file is needed")
+    if function_file is not None:
+        with open(function_file, encoding="utf-8") as f:
+            function = f.read()
+    return parse(function, edges)

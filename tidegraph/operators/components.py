@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegraph.functions.states import FIXED_UP, has
 from tidegraph.plans.lineage import cut
 from tidegraph.sources.graphs import Graph
 
@@ -23,6 +24,24 @@ def component_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         state = after
 
 
+def fixed_up_labels(vertices: DataFrame, edges: DataFrame, states: int = FIXED_UP) -> DataFrame:
+    """(v, component) over the edges (src, dst, state) whose state is one of ``states``."""
+    return component_labels(vertices, edges.where(has(F.col("state"), states)))
+
+
+def terminal_components(labels: DataFrame, terminals: list[int]) -> DataFrame:
+    """(n): how many components hold terminals."""
+    return labels.where(F.col("v").isin([int(t) for t in terminals])).agg(F.count_distinct("component").alias("n"))
+
+
+def nearest_vertex(points: DataFrame, g: Graph) -> DataFrame:
+    """``points`` (x, y) with v, the graph's vertex nearest to each, ties to the smaller; the graph is part of the expression."""
+    if g.positions is None:
+        raise ValueError("the graph has no positions")
+    far = F.array(*(F.struct((F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)).alias("d"), F.lit(v).alias("v")) for v, (x, y) in enumerate(g.positions)))
+    return points.withColumn("v", F.array_min(far)["v"])
+
+
 def reduced_graph(labels: DataFrame, edges: DataFrame, p: float | None = None, loops: bool = True) -> DataFrame:
     """(c1, c2, n_parallel): edges between components, with inop and op probabilities if ``p`` is given."""
     a = labels.select(F.col("v").alias("src"), F.col("component").alias("ca"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +44,20 @@ def thin(sample: DataFrame, distances: Sequence[Sequence[float]], radius: float)
     fixed state or become free; everything else is fixed up.
     """
 
+    near = [[k for k in range(e + 1, len(row)) if row[k] <= radius] for e, row in enumerate(distances)]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for state in f["state"]:
-                old, new = [int(x) for x in state], [FIXED_UP] * len(state)
-                covered = [False] * len(old)
-                for e, s in enumerate(old):
-                    if not s & DOWN or covered[e]:
-                        continue
-                    new[e] = FIXED_DOWN
-                    for k in range(e + 1, len(old)):
-                        if old[k] & DOWN and not covered[k] and distances[e][k] <= radius:
-                            covered[k] = True
-                            new[k] = old[k] if old[k] & FIXED else FREE_DOWN
-                out.append(new)
-            yield pd.DataFrame({"obs_id": f["obs_id"], "state": out})
+            old = np.array(f["state"].tolist(), np.int8).reshape(len(f), len(near))
+            new, covered, down = np.full(old.shape, FIXED_UP, np.int8), np.zeros(old.shape, bool), old & DOWN != 0
+            for e, others in enumerate(near):
+                centre = down[:, e] & ~covered[:, e]
+                new[centre, e] = FIXED_DOWN
+                for k in others:
+                    hit = centre & down[:, k] & ~covered[:, k]
+                    covered[:, k] |= hit
+                    new[hit, k] = np.where(old[hit, k] & FIXED != 0, old[hit, k], FREE_DOWN)
+            yield pd.DataFrame({"obs_id": f["obs_id"], "state": list(new)})
 
     return sample.select("obs_id", "state").mapInPandas(run, "obs_id long, state array<tinyint>")
 

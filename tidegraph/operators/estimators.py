@@ -68,10 +68,13 @@ class Network:
         return a / (a + b) if a + b > 0 else 0.5
 
 
-def importance(net: Network, rng: np.random.Generator) -> float:
-    """One likelihood ratio by importance sampling of edges in order; 0 if the terminals stay connected."""
-    s, weight = net.start(), 1.0
-    for k in range(net.m):
+def importance(net: Network, rng: np.random.Generator, state: Labels | None = None, first: int = 0, weight: float = 1.0) -> float:
+    """One likelihood ratio by importance sampling of edges in order; 0 if the terminals stay connected.
+
+    A particle goes on from its state, with its weight, at the edge ``first``.
+    """
+    s = net.start() if state is None else state
+    for k in range(first, net.m):
         c = net.cut(s, k)
         if c is None:
             return 0.0
@@ -296,6 +299,21 @@ def conditional_permutation(net: Network, least_down: int, rng: np.random.Genera
     return both / given
 
 
+def least_down_share(net: Network, least: int) -> float:
+    """Probability that so many edges at least, self-loops aside, are down; a sum of positive terms."""
+    m = sum(a != b for a, b in net.g.edges)
+    return math.fsum(math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(net.q) + (m - k) * math.log(net.p)) for k in range(least, m + 1)) if 0 < net.p < 1 else float(net.p == 0 or least == 0)
+
+
+def _conditional(net: Network, n: int, rng: np.random.Generator) -> list[float]:
+    """Permutation estimates given that as many edges are down as a minimum cut has, times the chance of that."""
+    least = net.cut(net.start(), 0)
+    if least is None:
+        return [0.0] * n
+    share = least_down_share(net, least)
+    return [share * conditional_permutation(net, least, rng) for _ in range(n)]
+
+
 METHODS: dict[str, Callable[..., tuple[float, float]]] = {
     "importance": lambda net, n, rng: (lambda x: (float(np.mean(x)), float(np.mean(np.square(x)))))([importance(net, rng) for _ in range(n)]),
     "wor": lambda net, n, rng: (splitting(net, n, rng, False, "sampford"), math.nan),
@@ -305,6 +323,8 @@ METHODS: dict[str, Callable[..., tuple[float, float]]] = {
     "wor_merge_variance": lambda net, n, rng: splitting_with_variance(net, n, rng, True)[:2],
     "residual": lambda net, n, rng: (residual(net, n, rng), math.nan),
     "turnip": lambda net, n, rng: (lambda x: (float(np.mean(x)), float(np.mean(np.square(x)))))([permutation(net, rng) for _ in range(n)]),
+    "continued_importance": lambda net, n, rng: (float(np.mean([importance(net, rng, first=1, weight=net.q) for _ in range(n)])), math.nan),
+    "conditional_turnip": lambda net, n, rng: (lambda x: (float(np.mean(x)), float(np.mean(np.square(x)))))(_conditional(net, n, rng)),
 }
 
 
@@ -334,7 +354,63 @@ def crude(units: DataFrame, unit: str, g: Graph, p: float, seed: int = 1) -> Dat
     return worlds.agg(F.count("*").alias("n"), failed.alias("n_failed")).select("n", "n_failed", (F.col("n_failed") / F.col("n")).alias("estimate"))
 
 
-def variance_graph(g: Graph, p: float, n: int, seed: int, merge: bool = True) -> list[tuple[int, int, int, float]]:
-    """(layer, parent, child, weight) of one run's sampling graph, for export."""
+def _failed_batch(g: Graph, up: np.ndarray) -> np.ndarray:
+    """Which worlds, rows of edges that are up, have split terminals; smallest labels run along the edges until none changes."""
+    label = np.tile(np.arange(g.vertices, dtype=np.int32), (len(up), 1))
+    while True:
+        before = label.copy()
+        for k, (a, b) in enumerate(g.edges):
+            low = np.where(up[:, k], np.minimum(label[:, a], label[:, b]), -1)
+            label[:, a] = np.where(low < 0, label[:, a], low)
+            label[:, b] = np.where(low < 0, label[:, b], low)
+        if (label == before).all():
+            ends = label[:, list(g.terminals)]
+            return (ends != ends[:, :1]).any(1)
+
+
+def crude_worlds(spark: SparkSession, g: Graph, p: float | str, n: int, seed: int = 1, chunk: int = 4096) -> DataFrame:
+    """(n, n_failed, estimate) of n independent worlds of a graph of any size, drawn in chunks that depend on the seed alone."""
+    p = probability(p)
+    sample_size(n)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            failed = [int(_failed_batch(g, np.random.Generator(np.random.Philox(key=[seed, c])).random((min(chunk, n - c * chunk), len(g.edges))) < p).sum()) for c in f["id"].tolist()]
+            yield pd.DataFrame({"failed": failed})
+
+    chunks = -(-n // chunk)
+    rows = spark.range(0, chunks, 1, min(chunks, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "failed long")
+    return rows.agg(F.lit(n).cast("long").alias("n"), F.sum("failed").alias("n_failed")).select("n", "n_failed", (F.col("n_failed") / F.col("n")).alias("estimate"))
+
+
+def variance_graph(g: Graph, p: float, n: int, seed: int, merge: bool = True) -> tuple[list[tuple], list[tuple]]:
+    """Nodes (stage, unit, inclusion, z, v) and edges (stage, parent, child, weight) of one run's sampling graph.
+
+    z is a unit's own estimate of what fails below it and v that estimate's variance.
+    """
     _, _, layers = splitting_with_variance(Network(g, p), n, np.random.Generator(np.random.Philox(key=[seed, 0])), merge)
-    return [(k, int(a), int(i), float(f[a, i])) for k, (_, f, _, _) in enumerate(layers) for a, i in zip(*np.nonzero(f))]
+    edges = [(k, int(a), int(i), float(f[a, i])) for k, (_, f, _, _) in enumerate(layers) for a, i in zip(*np.nonzero(f))]
+    last = len(layers[-1][2])
+    mean, cov = np.zeros(last), np.zeros((last, last))
+    nodes = [(len(layers), i, float(layers[-1][2][i]), 0.0, 0.0) for i in range(last)]
+    for k in range(len(layers) - 1, -1, -1):
+        gone, f, pi, joint = layers[k]
+        if len(pi):
+            y = mean / pi
+            inner = (1 - np.outer(pi, pi) / joint) * np.outer(y, y) + cov / joint
+            mean, cov = gone + f @ y, f @ inner @ f.T
+        else:
+            mean, cov = gone, np.zeros((len(gone), len(gone)))
+        share = layers[k - 1][2] if k else np.ones(1)
+        nodes += [(k, i, float(share[i]), float(mean[i]), float(cov[i, i])) for i in range(len(mean))]
+    return sorted(nodes), edges
+
+
+def variance_graphml(spark: SparkSession, g: Graph, p: float, n: int, seed: int, merge: bool = True) -> DataFrame:
+    """Lines (line, value) of the sampling graph's file, with stage, inclusion, Z and V of each node and the weight of each edge."""
+    nodes, edges = variance_graph(g, p, n, seed, merge)
+    keys = [("stage", "node", "int"), ("inclusion", "node", "double"), ("Z", "node", "double"), ("V", "node", "double"), ("weight", "edge", "double")]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', "<graphml>", *(f'<key id="{k}" for="{at}" attr.name="{k}" attr.type="{kind}"/>' for k, at, kind in keys), '<graph edgedefault="directed">']
+    lines = head + [f'<node id="n{s}_{u}"><data key="stage">{s}</data><data key="inclusion">{x!r}</data><data key="Z">{z!r}</data><data key="V">{v!r}</data></node>' for s, u, x, z, v in nodes]
+    lines += [f'<edge source="n{s}_{a}" target="n{s + 1}_{b}"><data key="weight">{w!r}</data></edge>' for s, a, b, w in edges] + ["</graph></graphml>"]
+    return spark.createDataFrame(list(enumerate(lines)), "line long, value string")

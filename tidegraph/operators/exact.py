@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegraph.functions.formula import Formula
@@ -113,14 +113,33 @@ def polynomial(counts: DataFrame, m: int, p: float, disconnected: bool = False)
     return counts.agg(F.sum(term).alias("unreliability"))
 
 
-def function_counts(worlds: DataFrame, g: Graph, formulas: list[Formula], world: str = "world") -> DataFrame:
+def binomials(m: int) -> list[int]:
+    """Worlds of m edges by edges up."""
+    return [math.comb(m, k) for k in range(m + 1)]
+
+
+def function_counts(worlds: DataFrame, g: Graph, formulas: list[Formula], world: str = "world", limit: int = MOST_EDGES) -> DataFrame:
     """(fn, n_edges, value, n): values of each formula over the worlds whose terminals are not connected."""
+    check_enumerable(g, limit)
     w = F.col(world)
     values = F.array(*(F.struct(F.lit(k).alias("fn"), f.column(lambda e: is_up(w, e)).alias("value")) for k, f in enumerate(formulas)))
-    rows = worlds.where(~connected(w, g)).select(up_count(w).alias("n_edges"), F.explode(values).alias("x"))
+    rows = with_connected(worlds.select(world), g, world).where("not connected").select(up_count(w).alias("n_edges"), F.explode(values).alias("x"))
     return rows.groupBy("x.fn", "n_edges", "x.value").agg(F.count("*").alias("n"))
 
 
+def function_range(spark: SparkSession, formulas: list[Formula]) -> DataFrame:
+    """(fn, low, high): least and greatest value of each formula over the states of the edges that it names."""
+    out = None
+    for k, f in enumerate(formulas):
+        named = f.edges
+        if len(named) > MOST_EDGES:
+            raise ValueError(f"{len(named)} edges are too many to enumerate")
+        value = f.column(lambda e: is_up(F.col("world"), named.index(e)))
+        row = all_worlds(spark, len(named)).agg(F.min(value).alias("low"), F.max(value).alias("high")).select(F.lit(k).alias("fn"), F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def function_expectation(counts: DataFrame, m: int, p: float) -> DataFrame:
     """(fn, expectation): mean of each formula given that the terminals are not connected."""
     share = F.col("n") * F.pow(F.lit(probability(p)), F.col("n_edges")) * F.pow(F.lit(1 - p), F.lit(m) - F.col("n_edges"))
@@ -132,16 +151,22 @@ def all_worlds(spark: SparkSession, m: int) -> DataFrame:
     return spark.range(1 << m).select(F.col("id").alias("world"))
 
 
-def report(counts: DataFrame) -> DataFrame:
-    """Lines of an enumeration, one a (function, edges, value)."""
-    return counts.select("fn", "n_edges", "value", F.format_string("%d edges, value %d:  %d", "n_edges", "value", "n").alias("line"))
+def report(counts: DataFrame, g: Graph, formulas: list[str]) -> DataFrame:
+    """(line, value): an enumeration as text, three lines on the graph, one a formula, then one a (function, edges, value)."""
+    spark = counts.sparkSession
+    head = [f"Graph with {g.vertices} vertices and {len(g.edges)} edges", f"Terminals {' '.join(map(str, g.terminals))}", f"{len(formulas)} functions", *(f"Function {k}: {text}" for k, text in enumerate(formulas))]
+    lines = spark.createDataFrame([(k - len(head), x) for k, x in enumerate(head)], "line long, value string")
+    place = (F.col("fn").cast("long") * len(g.edges) + F.col("n_edges")) * (1 << 20) + F.dense_rank().over(Window.partitionBy("fn", "n_edges").orderBy("value"))
+    return lines.unionByName(counts.select(place.alias("line"), F.format_string("%d edges, value %d:  %d", "n_edges", "value", "n").alias("value")))
 
 
-def read_report(lines: DataFrame, column: str = "value") -> DataFrame:
-    """(n_edges, value, n) of such lines; other lines are left out."""
+def read_report(lines: DataFrame, column: str = "value", head: str = r"^(Graph with |Terminals |\d+ functions$|Function \d+: |\s*$)") -> DataFrame:
+    """(n_edges, value, n) of such lines; a line that is neither a count nor of the head is an error."""
     pattern = r"^\s*(\d+) edges, value (-?\d+):\s+(\d+)\s*$"
     part = lambda k: F.regexp_extract(column, pattern, k)
-    return lines.where(F.col(column).rlike(pattern)).select(part(1).cast("int").alias("n_edges"), part(2).cast("long").alias("value"), part(3).cast("long").alias("n"))
+    bad = F.raise_error(F.concat(F.lit("not a line of an enumeration: "), F.col(column)))
+    fine = F.when(F.col(column).rlike(pattern), True).when(F.col(column).rlike(head), False).otherwise(bad.cast("boolean"))
+    return lines.where(fine).select(part(1).cast("int").alias("n_edges"), part(2).cast("long").alias("value"), part(3).cast("long").alias("n"))
 
 
 # --- merged states: the uncapped recursion over edges -------------------------
@@ -156,7 +181,7 @@ def _canonical(labels: Column, gone: list[int]) -> Column:
 
 
 def merged_states(spark: SparkSession, g: Graph, p: float | None = None, every: int = 6) -> DataFrame:
-    """Exact unreliability (one row), or with ``p=None`` the counts (n_edges, n) of worlds that fail.
+    """Exact unreliability (one row), or with ``p=None`` the counts (n_edges, n) of worlds that fail, as decimals from 63 edges on.
 
     A state is the partition of the vertices by edges that are up so far, of which
     only vertices with edges to come and terminals are kept.  Each edge splits a
@@ -196,5 +221,5 @@ def merged_states(spark: SparkSession, g: Graph, p: float | None = None, every:
             states = cut(states)
     failed = states.where(F.size("labels") == 0)
     if count:
-        return failed.select(F.col("k").alias("n_edges"), F.col("w").cast("long").alias("n"))
+        return failed.select(F.col("k").alias("n_edges"), (F.col("w").cast("long") if len(edges) < 63 else F.col("w")).alias("n"))
     return failed.agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("unreliability"))

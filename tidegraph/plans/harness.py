@@ -46,11 +46,11 @@ def resume(spark: SparkSession, path: str, scenario_id: int, g: Graph, p: float,
 
 
 def statistics(results: DataFrame, key: str = "scenario_id", estimate: str = "estimate", seconds: str | None = None, truth: DataFrame | None = None) -> DataFrame:
-    """Mean, both variances, relative error, and bias, MSE and work-normalised variances where seconds and truth are known."""
+    """Mean, both variances, relative error of one estimate and of the mean, and bias, MSE and work-normalised variances where seconds and truth are known."""
     aggs = [F.count("*").alias("n"), F.avg(estimate).alias("mean"), F.var_samp(estimate).alias("var_samp"), F.var_pop(estimate).alias("var_pop")]
     if seconds:
         aggs.append(F.avg(seconds).alias("seconds"))
-    out = results.groupBy(key).agg(*aggs).withColumn("re", F.sqrt("var_samp") / F.col("mean"))
+    out = results.groupBy(key).agg(*aggs).withColumn("re", F.sqrt("var_samp") / F.col("mean")).withColumn("mean_re", F.sqrt(F.col("var_samp") / F.col("n")) / F.col("mean"))
     if seconds:
         out = out.withColumn("wnv", F.col("var_samp") * F.col("seconds")).withColumn("wnrv", F.col("wnv") / (F.col("mean") * F.col("mean")))
     if truth is not None:
@@ -58,6 +58,25 @@ def statistics(results: DataFrame, key: str = "scenario_id", estimate: str = "es
     return out
 
 
+def with_statistics(scenarios: DataFrame, stats: DataFrame) -> DataFrame:
+    """Scenarios beside their statistics; those without results have nulls."""
+    return scenarios.join(stats, "scenario_id", "left")
+
+
+def plotted(rows: DataFrame, labels: dict[str, str], **equal: object) -> DataFrame:
+    """The rows of the methods in ``labels`` where the named columns have the values, methods under their labels."""
+    for name, wanted in equal.items():
+        rows = rows.where(F.col(name) == wanted)
+    names = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))
+    return rows.where(F.col("method").isin(list(labels))).withColumn("method", names[F.col("method")])
+
+
+def estimate_lines(stats: DataFrame, estimate: str = "mean") -> DataFrame:
+    """(value): a line for each row, the estimate and where known the relative error of the mean."""
+    error = F.format_string(", relative error %.6e", "mean_re") if "mean_re" in stats.columns else F.lit("")
+    return stats.select(F.concat(F.format_string("Estimate %.10e", estimate), F.coalesce(error, F.lit(""))).alias("value"))
+
+
 def running(results: DataFrame, key: str, order: str, estimate: str, every: int = 100) -> DataFrame:
     """Mean and sample variance of the first k replicates, for every k that is a multiple of ``every``."""
     w = Window.partitionBy(key).orderBy(order)

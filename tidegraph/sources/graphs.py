@@ -118,14 +118,22 @@ def from_neighbours(names: Sequence[str], neighbours: Sequence[Sequence[int]], t
     return Graph(len(names), tuple(edges), tuple(terminals))
 
 
-def convert(graph: object, terminals: Sequence[int] = (), dedupe: bool = True) -> Graph:
-    """A graph from any of the accepted forms."""
+def convert(graph: object, terminals: Sequence[int] = (), dedupe: bool = True, form: str | None = None) -> Graph:
+    """A graph from any of the accepted forms.
+
+    ``form`` says what rows are: ``edges`` or ``matrix``.  Without it rows of two
+    are edges, except that two rows that could be either are refused.
+    """
+    if form not in (None, "edges", "matrix"):
+        raise ValueError("rows are edges or a matrix")
     if isinstance(graph, Graph):
         return graph.with_terminals(terminals) if terminals else graph
     if isinstance(graph, dict):
         return from_neighbours(list(graph), list(graph.values()), terminals, dedupe)
     rows = [tuple(r) for r in graph]
-    if rows and len(rows) == len(rows[0]) and len(rows) != 2:
+    if form is None and len(rows) == 2 and rows in ([(0, 1), (1, 0)], [(0, 0), (0, 0)]):
+        raise ValueError("two rows of two may be edges or a matrix; form says which")
+    if form == "matrix" or (form is None and rows and len(rows) == len(rows[0]) and len(rows) != 2):
         return from_adjacency(rows, terminals, dedupe)
     return from_edges(rows, terminals)
 
@@ -149,11 +157,15 @@ def add_edges(g: Graph, edges: Iterable[tuple[int, int]]) -> Graph:
 
 
 #: The ends of the dodecahedron's edges in file order.
-DODECAHEDRON = "0-2 1-0 1-4 1-5 3-0 3-8 4-9 4-10 6-2 6-5 7-2 7-8 7-13 8-14 9-3 10-16 11-5 11-10 11-17 12-6 12-17 13-12 13-18 14-15 15-9 16-15 16-19 18-14 18-19 19-17"
+DODECAHEDRON = (
+    (0, 2), (1, 0), (1, 4), (1, 5), (3, 0), (3, 8), (4, 9), (4, 10), (6, 2), (6, 5),
+    (7, 2), (7, 8), (7, 13), (8, 14), (9, 3), (10, 16), (11, 5), (11, 10), (11, 17), (12, 6),
+    (12, 17), (13, 12), (13, 18), (14, 15), (15, 9), (16, 15), (16, 19), (18, 14), (18, 19), (19, 17),
+)
 
 
 def dodecahedron(terminals: Sequence[int] = (0, 19)) -> Graph:
-    return from_edges((tuple(map(int, e.split("-"))) for e in DODECAHEDRON.split()), terminals, 20)
+    return from_edges(DODECAHEDRON, terminals, 20)
 
 
 def dodecahedra_in_series() -> Graph:
