@@ -31,7 +31,7 @@ WINDOW, MINIMISER = 13, 3
 #: Buckets that a shuffle partition works through one by one, at least; bytes of input for a bucket; bytes of text of a bucket that a task holds.
 BUCKETS_EACH, BUCKET_BYTES, BUCKET_TEXT = 4, 4 << 20, 16 << 20
 #: Bytes of text that are packed together.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 24 << 20
 _U64 = np.uint64
 _LANES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U64(2) + _U64(1)
 
@@ -77,6 +77,16 @@ def super_kmers(w: Words, h: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np
     return at[first], size, value[first]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all first bytes first, so that their empty high bytes vanish when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _from_planes(raw: bytes, kind: type, n: int, offset: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, offset).reshape(width, n).T).reshape(-1).view(kind)
+
+
 def _compact(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words with one blank after each, and their spans."""
     size = w.end - w.start
@@ -149,7 +159,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
                 length = end[x] - start[x]
                 pos = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
                 body = text[pos + np.repeat(start[x], length)]
-                raw = b"".join([struct.pack("<q", len(x)), doc[x].tobytes(), tag[x].tobytes(), at[x].astype(np.int64).tobytes(), length.astype(np.int64).tobytes(), body.tobytes()])
+                raw = b"".join([struct.pack("<q", len(x)), _planes(doc[x]), *(_planes(c.astype(np.int32)) for c in (tag[x], at[x], length)), body.tobytes()])
                 rows.append((int(bucket[i]), squeeze.compress(raw)))
                 if len(rows) >= 64:
                     yield packed(rows)
@@ -187,8 +197,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
         parts = []
         for raw in raws:
             (n,) = struct.unpack_from("<q", raw)
-            cols = [np.frombuffer(raw, np.int64, n, 8 + 8 * n * c) for c in range(4)]
-            parts.append((*cols, np.frombuffer(raw, np.uint8, offset=8 + 32 * n)))
+            numbers = [_from_planes(raw, np.int32, n, 8 + 8 * n + 4 * n * c).astype(np.int64) for c in range(3)]
+            parts.append((_from_planes(raw, np.int64, n, 8), *numbers, np.frombuffer(raw, np.uint8, offset=8 + 20 * n)))
         doc, tag, at, length, text = (np.concatenate([p[c] for p in parts]) for c in range(5))
         w = Words(text, np.r_[0, np.cumsum(length)])
         h = w.hashes()
@@ -271,12 +281,12 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Result: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by
     one blank), and kept_text if ``with_text``.  A null text has no words.  Rows
-    that repeat an id do not remove words from each other; a row with a null id
+    that repeat an id, told apart by 31 bits of their text's hash, do not remove words from each other; a row with a null id
     loses none and removes none.  Other columns are ignored.
     """
     if window < minimiser or minimiser < 1 or window > 256:
         raise ValueError("needs 1 <= minimiser <= window <= 256")
-    part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text"))
+    part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
     spans = repeated_spans(part, window=window, minimiser=minimiser, batch_bytes=batch_bytes)
     release(docs.sparkSession)  # the packed super-k-mers
     # twice the same span can come from two batches
