@@ -1,6 +1,7 @@
 """Small fixtures with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -266,6 +267,40 @@ def test_gate_lets_hidden_words_through():
     assert seen == ["xab", "cdef"]
 
 
+def test_decoding_by_brute_force():
+    r = random.Random(17)
+    parts = []
+    for _ in range(60):
+        text = " ".join(r.choice(["idiot", "moron", "creep", "tiger", "ole", "boat", "née"]) for _ in range(r.randrange(1, 9)))
+        symbols, places, _ = bytegrams.folded(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        parts.append(np.unique(bytegrams.grams(symbols, places), return_counts=True))
+    code, n = bytegrams.merged(parts)
+    model = langid.PpmModel([""], code.astype(np.int32), n, np.zeros(len(code), np.int64))
+    decoder = toxicity.Decoder(model)
+    some = np.unique(np.r_[[r.randrange(model.base**4) for _ in range(3000)], [r.randrange(40) for _ in range(20)]])
+    want = model.costs(some.astype(np.int32))[:, 0] / langid.PARTS
+    assert [decoder._cost(int(g)) for g in some] == want.tolist()
+
+    def length(text_and_extra):
+        total, seen = 0.0, [0, 0, 0]
+        for text, extra in text_and_extra:
+            total += extra
+            for s in bytegrams.FOLD[np.frombuffer(text.encode(), np.uint8)].tolist():
+                if s or seen[-1]:
+                    seen.append(s)
+                    gram = 0
+                    for x in seen[-4:]:
+                        gram = gram * model.base + int(model.alphabet[x])
+                    total += float(model.costs(np.array([gram], np.int32))[0, 0]) / langid.PARTS
+        return total
+
+    for token in ("1d10t", "m0r0n", "t1g3r", "b0@t", "cr33p", "id-iot", "oooole", "!d|ot", "née", "q7x", "1", "--"):
+        paths = [(*p, (" ", 0.0)) for p in itertools.product(*decoder._options(token))]
+        costs = [length(p) for p in paths]
+        best = {"".join(t for t, _ in p).strip() for p, c in zip(paths, costs) if c < min(costs) + 1e-9}
+        assert decoder.restore(token) in best
+
+
 # --- op5 --------------------------------------------------------------------------
 
 

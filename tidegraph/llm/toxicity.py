@@ -12,6 +12,7 @@ documents; features are picked by their log-likelihood ratio.
 from __future__ import annotations
 
 import itertools
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,10 @@ class Decoder:
         self.model = model
         self.known: dict[str, str] = {}
         self.costs: dict[int, float] = {}
+        if model is not None:
+            self.alphabet: list[int] = model.alphabet.tolist()
+            # longest context first; a gram is sought alone, and views are quick to search for one
+            self.trees = [(model.base ** (d + 1), memoryview(t.grams), memoryview(t.contexts), memoryview(t.coded), memoryview(t.escape)) for d, t in reversed(list(enumerate(model.trees[0])))]
 
     def restore(self, token: str) -> str:
         """The likeliest plain words, separated by blanks."""
@@ -69,14 +74,29 @@ class Decoder:
         return got
 
     def _cost(self, gram: int) -> float:
-        """Code length in nats of the last symbol of a gram."""
+        """Code length in nats of the last symbol of a gram, as ``PpmModel.costs`` gives it."""
         got = self.costs.get(gram)
         if got is None:
             if len(self.costs) > CACHE:
                 self.costs.clear()
-            got = self.costs[gram] = float(self.model.costs(np.array([gram], np.int32))[0, 0]) / PARTS
+            got = self.costs[gram] = self._sought(gram) / PARTS
         return got
 
+    def _sought(self, gram: int) -> int:
+        base, total = self.model.base, 0
+        for size, grams, contexts, coded, escape in self.trees:
+            key = gram % size
+            at = bisect_left(grams, key)
+            if at < len(grams) and grams[at] == key:
+                return total + coded[at]
+            at = bisect_left(contexts, key // base)
+            if at < len(contexts) and contexts[at] == key // base:
+                total += escape[at]
+        return total + int(np.rint(np.log(base) * PARTS))
+
+    def _symbols(self, text: str) -> list[int]:
+        return [self.alphabet[s] for s in FOLD[np.frombuffer(text.encode(), np.uint8)].tolist()] if text else []
+
     def _options(self, token: str) -> Iterator[list[tuple[str, float]]]:
         i = 0
         while i < len(token):
@@ -95,8 +115,8 @@ class Decoder:
 
     def _viterbi(self, token: str) -> str:
         m = self.model
-        order, base, alphabet = m.order, m.base, m.alphabet
-        blank = int(alphabet[0])
+        order, base = m.order, m.base
+        blank = self.alphabet[0]
         mod = base**order
         start = 0
         for _ in range(order):
@@ -105,13 +125,14 @@ class Decoder:
         paths: dict[int, tuple[float, tuple | None]] = {start: (0.0, None)}
         for options in itertools.chain(self._options(token), [[(" ", 0.0)]]):
             best: dict[int, tuple[float, tuple | None]] = {}
+            spelled = [(text, extra, self._symbols(text)) for text, extra in options]
             for ctx, (cost, back) in paths.items():
-                for text, extra in options:
+                for text, extra, symbols in spelled:
                     total, state = cost + extra, ctx
-                    for s in FOLD[np.frombuffer(text.encode(), np.uint8)].tolist() if text else ():
-                        if s == 0 and state % base == blank:
+                    for s in symbols:
+                        if s == blank and state % base == blank:
                             continue
-                        at = state * base + int(alphabet[s])
+                        at = state * base + s
                         total += self._cost(at)
                         state = at % mod
                     held = best.get(state)
