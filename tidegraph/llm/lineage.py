@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +46,10 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more, before the next large step."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df`` as a Parquet table of their own in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

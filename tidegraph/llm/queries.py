@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, decontamination, jaccard, langid, packing, pii, quality, substrings, topk, toxicity
+from tidegraph.llm import chat, decontamination, jaccard, langid, packing, pii, quality, runs, substrings, topk, toxicity, whitening
 from tidegraph.llm.oracle import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -84,8 +84,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runs.with_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return runs.digest(runs.find(docs))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_quality": op9_quality, "op10_pii": op10_pii}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_quality": op9_quality, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs, "op12_embedding_whitening": op12_embedding_whitening}
 
 
 def oracle_sql() -> dict[str, str]:
