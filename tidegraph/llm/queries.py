@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.llm import chat, decontamination, jaccard, langid, packing, pii, quality, runs, substrings, topk, toxicity, whitening
+from tidegraph.llm import chat, decontamination, jaccard, langid, ngrams, packing, pii, quality, runs, substrings, topk, toxicity, whitening
 from tidegraph.llm.oracle import ORACLE
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -93,8 +93,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = ngrams.score(_table(spark, sf_dir, "documents"), fold(7) != 2)
+    return scores.select("doc_id", F.coalesce(fold(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_quality": op9_quality, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs, "op12_embedding_whitening": op12_embedding_whitening}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op2_decontamination": op2_decontamination, "op3_language_id": op3_language_id, "op4_toxicity": op4_toxicity, "op5_substring_dedup": op5_substring_dedup, "op6_topk_search": op6_topk_search, "op7_packing": op7_packing, "op8_chat_format": op8_chat_format, "op9_quality": op9_quality, "op10_pii": op10_pii, "op11_periodic_runs": op11_periodic_runs, "op12_embedding_whitening": op12_embedding_whitening, "op13_lm_scoring": op13_lm_scoring}
 
 
 def oracle_sql() -> dict[str, str]:
