@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegraph.functions.states import uniform
+from tidegraph.operators.scan import PART_ROWS, latest, prefix_sums
 
 # --- on DataFrames -------------------------------------------------------------
 
 
-def inclusion_table(units: DataFrame, size: str, n: int, rounds: int = 20) -> DataFrame:
+def inclusion_table(units: DataFrame, size: str, n: int) -> DataFrame:
     """Add ``pi``, proportional to size with sum n and at most 1: units that would exceed 1 are certain, the rest share what is left."""
-    rows = units.withColumn("pi", F.lit(None).cast("double"))
-    for _ in range(rounds):
-        total = rows.agg(F.sum(F.when(F.col("pi").isNull(), F.col(size))).alias("s"), F.count("pi").alias("sure")).first()
-        scale = (n - total.sure) / total.s if total.s else 0.0
-        over = F.col("pi").isNull() & (F.col(size) * scale >= 1)
-        if rows.where(over).isEmpty():
-            return rows.withColumn("pi", F.coalesce("pi", F.col(size) * scale))
-        rows = rows.withColumn("pi", F.when(over, F.lit(1.0)).otherwise(F.col("pi")))
-    return rows.withColumn("pi", F.coalesce("pi", F.least(F.col(size) * scale, F.lit(1.0))))
+    c = threshold_scale(units, size, n)
+    if np.isinf(c):
+        return units.withColumn("pi", F.when(F.col(size) > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return units.withColumn("pi", F.least(F.lit(c) * F.col(size), F.lit(1.0)))
 
 
 def pareto_sample(units: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
@@ -31,45 +27,49 @@ def pareto_sample(units: DataFrame, unit: str, n: int, seed: int) -> DataFrame:
     return units.withColumn("key", key).orderBy("key", unit).limit(n)
 
 
-def threshold_scale(units: DataFrame, size: str, n: int) -> float:
-    """c with sum(min(1, c * size)) = n, from the ordered sizes."""
-    ranked = units.where(F.col(size) > 0).groupBy(size).agg(F.count("*").alias("k")).withColumn("t", F.col(size) * F.col("k"))
-    # distinct sizes in order; running sums over range partitions would be the same in parts
-    w = Window.orderBy(F.desc(size))
-    rows = ranked.select(size, F.sum("k").over(w).alias("above"), F.sum("t").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("below"))
-    c = (F.lit(n) - F.col("above")) / F.col("below")
-    hit = rows.where((F.col("below") > 0) & (F.col("above") < n)).select(c.alias("c"), size).where(F.col("c") * F.col(size) >= 1).agg(F.min("c").alias("c")).first()
-    if hit.c is not None:
-        return float(hit.c)
-    return n / float(units.agg(F.sum(size)).first()[0])
+def threshold_scale(units: DataFrame, size: str, n: int, part_rows: int = PART_ROWS) -> float:
+    """c with sum(min(1, c * size)) = n, from running sums over the distinct sizes; infinite if no more than n units have a size above 0."""
+    ranked = units.where(F.col(size) > 0).groupBy(size).agg(F.count("*").alias("k")).select(size, (-F.col(size)).alias("fall"), "k", (F.col(size) * F.col("k")).alias("t"))
+    whole = units.where(F.col(size) > 0).agg(F.sum(size).alias("t"), F.count("*").alias("k")).first()
+    if whole.k <= n:
+        return float("inf")
+    # the units from a size on are certain if the scale that this leaves to the others makes it so; the last such size counts
+    rows = prefix_sums(ranked, ["fall"], {"above": "k", "upto": "t"}, part_rows).where(F.col("above") < n)
+    c = (F.lit(n) - F.col("above")) / (F.lit(whole.t) - F.col("upto"))
+    last = rows.select(c.alias("c"), size).where(F.col("c") * F.col(size) >= 1).agg(F.max("c").alias("c")).first()
+    return float(n / whole.t if last.c is None else last.c)
 
 
-def threshold_sample(units: DataFrame, unit: str, size: str, n: int, seed: int, groups: int = 16) -> DataFrame:
+def threshold_sample(units: DataFrame, unit: str, size: str, n: int, seed: int, part_rows: int = PART_ROWS) -> DataFrame:
     """Threshold sampling: units with c * size >= 1 stay with their weight; of the rest a systematic sample gets weight 1 / c.
 
-    Running sums are formed within hashed groups and the groups' totals, so no
-    task sees all rows.
+    The rest lie one after another on a line in the order of ``unit``, which must be
+    distinct; one uniform starts the systematic sample.
     """
-    c = threshold_scale(units, size, n)
-    rows = units.withColumn("mass", F.lit(c) * F.col(size))
-    sure = rows.where("mass >= 1").select(unit, size, "mass", F.col(size).alias("weight"))
-    rest = rows.where("mass < 1").withColumn("g", F.pmod(F.xxhash64(unit), F.lit(groups)))
-    totals = rest.groupBy("g").agg(F.sum("mass").alias("t"))
-    before = totals.select("g", (F.sum("t").over(Window.orderBy("g")) - F.col("t")).alias("start"))
-    w = Window.partitionBy("g").orderBy(unit)
-    start = uniform(seed, "start")
-    placed = rest.join(F.broadcast(before), "g").withColumn("to", F.col("start") + F.sum("mass").over(w) - start)
-    taken = placed.where(F.floor("to") > F.floor(F.col("to") - F.col("mass")))
+    c = threshold_scale(units, size, n, part_rows)
+    if np.isinf(c):
+        return units.where(F.col(size) > 0).select(unit, size, F.lit(1.0).alias("mass"), F.col(size).cast("double").alias("weight"))
+    rows = units.where(F.col(size) > 0).withColumn("mass", F.lit(c) * F.col(size))
+    sure = rows.where("mass >= 1").select(unit, size, "mass", F.col(size).cast("double").alias("weight"))
+    placed = prefix_sums(rows.where("mass < 1"), [unit], {"upto": size}, part_rows)
+    at = lambda x: F.floor(F.lit(c) * x - uniform(seed, "start"))
+    taken = placed.where(at(F.col("upto")) > at(F.col("upto") - F.col(size)))
     return sure.unionByName(taken.select(unit, size, "mass", F.lit(1 / c).alias("weight")))
 
 
-def alias_draws(units: DataFrame, unit: str, size: str, draws: int, seed: int) -> DataFrame:
-    """(draw, unit): draws with replacement in proportion to size, by running shares and a range join."""
-    w = Window.orderBy(unit)
-    shares = units.where(F.col(size) > 0).select(unit, (F.sum(size).over(w) - F.col(size)).alias("lo"), F.sum(size).over(w).alias("hi"))
-    total = units.where(F.col(size) > 0).agg(F.sum(size).alias("total"))
-    at = units.sparkSession.range(draws).select(F.col("id").alias("draw"), uniform(seed, F.col("id")).alias("u")).crossJoin(F.broadcast(total)).select("draw", (F.col("u") * F.col("total")).alias("x"))
-    return at.join(shares, (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("draw", unit)
+def alias_draws(units: DataFrame, unit: str, size: str, draws: int, seed: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """(draw, unit): draws with replacement in proportion to size.
+
+    Units lie one after another on a line in the order of ``unit``, which must be
+    distinct; a draw is a place on it and finds the last unit that begins before.
+    """
+    placed = prefix_sums(units.where(F.col(size) > 0), [unit], {"upto": size}, part_rows)
+    marks = placed.select((F.col("upto") - F.col(size)).cast("double").alias("place"), unit)
+    total = units.where(F.col(size) > 0).agg(F.sum(size).alias("total")).first().total
+    if not total:
+        return marks.select(F.lit(0).cast("long").alias("draw"), unit)
+    points = units.sparkSession.range(draws).select(F.col("id").alias("draw"), (uniform(seed, F.col("id")) * F.lit(total)).alias("place"))
+    return latest(points, marks, "place", unit, part_rows).select("draw", unit)
 
 
 def horvitz_thompson(sample: DataFrame, value: str, pi: str = "pi") -> DataFrame:

@@ -344,12 +344,6 @@ def pareto_sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.pareto_sample(sampling.inclusion_table(part, "size", 50), "p_partkey", 50, SEED).select("p_partkey", "size")
 
 
-@query()
-def threshold_sample_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "customer").select("c_custkey", F.round((F.col("c_acctbal") + 1000) * 100).cast("long").alias("size")).where("size > 0")
-    return sampling.threshold_sample(rows, "c_custkey", "size", 40, SEED)
-
-
 @query(
     f"""WITH s AS (SELECT s_suppkey, CAST(round((s_acctbal + 1000) * 100) AS BIGINT) AS size FROM supplier
 ), c AS (SELECT s_suppkey, sum(size) OVER (ORDER BY s_suppkey) AS hi, sum(size) OVER (ORDER BY s_suppkey) - size AS lo FROM s WHERE size > 0
