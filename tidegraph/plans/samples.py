@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegraph.operators import designs, sampling, scan
+from tidegraph.operators import designs, layers, sampling, scan
 from tidegraph.plans.catalogue import _U, SEED, _read, query
 
 #: Units of the fixed-size designs, draws with replacement, and units of the threshold sample.
@@ -122,3 +125,60 @@ def sampford_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampford's design with inclusion probabilities in proportion to price."""
     units = sampling.inclusion_table(_parts(spark, sf_dir), "size", FIXED)
     return designs.sampford_sample(units, "p_partkey", "pi", FIXED, SEED).where("taken").select("p_partkey", F.round("pi", 10).alias("pi"))
+
+
+#: Samples of the two layers of ``layered_orders``: market segments, then order priorities.
+_LAYERS = (3, 2)
+_LAYERED = """WITH o AS (SELECT c_mktsegment AS seg, o_orderpriority AS prio FROM orders JOIN customer ON o_custkey = c_custkey
+), cell AS (SELECT seg, prio, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY 1, 2)"""
+
+
+def _all_samples(name: str, key: str, n: int) -> str:
+    """Every sample of a layer with its probability in proportion to the product of sizes, and its inclusion probabilities."""
+    return f""", {name}_u AS (SELECT {key} AS k, sum(n) / (SELECT sum(n) FROM cell) AS size, CAST(row_number() OVER (ORDER BY {key}) - 1 AS INTEGER) AS i FROM cell GROUP BY {key}
+), {name}_w AS (SELECT r.range AS s, exp(sum(ln(size))) AS w FROM range(1024) AS r, {name}_u WHERE bit_count(r.range) = {n} AND r.range < (1 << (SELECT count(*) FROM {name}_u)) AND ((r.range >> i) & 1) = 1 GROUP BY 1
+), {name}_s AS (SELECT s, w / (SELECT sum(w) FROM {name}_w) AS p FROM {name}_w
+), {name}_pi AS (SELECT k, sum(p) AS pi FROM {name}_u, {name}_s WHERE ((s >> i) & 1) = 1 GROUP BY k)"""
+
+
+@query(
+    f"""{_LAYERED}{_all_samples('a', 'seg', _LAYERS[0])}{_all_samples('b', 'prio', _LAYERS[1])}
+, est AS (SELECT x.s AS s, y.s AS t, any_value(x.p * y.p) AS p, sum(n / (f.pi * g.pi)) AS est FROM a_s AS x, b_s AS y, cell
+    JOIN a_u ON a_u.k = seg JOIN b_u ON b_u.k = prio JOIN a_pi AS f ON f.k = seg JOIN b_pi AS g ON g.k = prio WHERE ((x.s >> a_u.i) & 1) = 1 AND ((y.s >> b_u.i) & 1) = 1 GROUP BY 1, 2)
+SELECT CAST(count(*) AS BIGINT) AS n_samples, CAST(round(sum(p * est)) AS BIGINT) AS mean, round(sum(p * pow(est - (SELECT sum(n) FROM cell), 2)) / pow((SELECT sum(n) FROM cell), 2), 9) AS relative_variance FROM est"""
+)
+def layered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders estimated from three market segments and, within those, two priorities, for every possible sample.
+
+    Orders of one priority merge, with the segments as their lineage.  Each sample's
+    variance estimate comes from that sample alone; weighted by the samples'
+    probabilities they give the exact variance.
+    """
+    orders = _read(spark, sf_dir, "orders").join(_read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    cells = orders.groupBy(F.col("c_mktsegment").alias("parent"), F.col("o_orderpriority").alias("unit")).agg(F.count("*").cast("double").alias("share"))
+    units = layers.merged(cells, ["unit"])
+    top, low = _design(cells, "parent", _LAYERS[0]), _design(cells, "unit", _LAYERS[1])
+    both = top.select(F.col("s").alias("x"), F.col("p").alias("px"), F.col("joint").alias("jx")).crossJoin(low.select(F.col("s").alias("y"), F.col("p").alias("py"), F.col("joint").alias("jy")))  # all samples of both layers, the population of this query
+    samples = both.select(F.concat_ws("/", F.concat_ws(",", "x"), F.concat_ws(",", "y")).alias("s"), "x", "y", (F.col("px") * F.col("py")).alias("p"), "jx", "jy")
+    pairs = lambda c: samples.select("s", F.explode(c).alias("j")).select("s", "j.a", "j.b", "j.pi_ab")
+    first = samples.select("s", F.lit("all").alias("parent"), F.explode("x").alias("unit"), F.lit(1.0).alias("share"))
+    second = layers.links(units).join(samples.select("s", F.explode("x").alias("parent"), "y"), "parent").where(F.array_contains("y", F.col("unit"))).select("s", "parent", "unit", "share")
+    leaves = samples.select("s", F.explode("y").alias("unit"), F.lit(1.0).alias("z"))
+    z, cov = layers.estimate([(pairs("jx"), first), (pairs("jy"), second)], leaves, ["s"])
+    total = cells.agg(F.sum("share").alias("total"))
+    found = samples.select("s", "p").join(z.select("s", "z"), "s").join(cov.select("s", "cov"), "s").crossJoin(F.broadcast(total))  # one row
+    return found.groupBy("total").agg(F.count("*").alias("n_samples"), F.round(F.sum(F.col("p") * F.col("z"))).cast("long").alias("mean"), F.sum(F.col("p") * F.col("cov")).alias("v")).select("n_samples", "mean", F.round(F.col("v") / F.col("total") / F.col("total"), 9).alias("relative_variance"))
+
+
+def _design(cells: DataFrame, key: str, n: int) -> DataFrame:
+    """(s, p, joint) of every sample of n values of a key, probabilities in proportion to the product of shares; for a handful of values."""
+    spark = cells.sparkSession
+    rows = cells.groupBy(key).agg(F.sum("share").alias("size")).orderBy(key).limit(11).collect()
+    if len(rows) > 10:
+        raise ValueError("all samples of more than 10 units are too many")
+    names, size = [r[0] for r in rows], {r[0]: r["size"] for r in rows}
+    chosen = list(itertools.combinations(names, n))
+    weight = [math.prod(size[k] / sum(size.values()) for k in s) for s in chosen]
+    p = [w / sum(weight) for w in weight]
+    pi = {(a, b): sum(q for s, q in zip(chosen, p) if a in s and b in s) for a in names for b in names}
+    return spark.createDataFrame([(list(s), q, [(a, b, pi[a, b]) for a in s for b in s]) for s, q in zip(chosen, p)], "s array<string>, p double, joint array<struct<a:string,b:string,pi_ab:double>>")
