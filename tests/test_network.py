@@ -253,6 +253,17 @@ def test_harness(spark, tmp_path):
     assert harness.histogram(rows, "estimate", 0.0, 1.0, 10).agg(F.sum("n")).first()[0] == 25
 
 
+def test_resuming_with_more_replicates(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    run = lambda reps: harness.resume(spark, path, 1, BRIDGE, 0.7, "wor", 3, reps, 10)
+    rows = lambda: {(r.batch, r.replicate): r.estimate for r in spark.read.parquet(path).collect()}
+    assert run(15) == 2
+    before = rows()
+    assert run(5) == 0 and run(28) == 2  # the short batch and a new one
+    after = rows()
+    assert len(before) == 15 and len(after) == 28 and all(after[k] == x for k, x in before.items())
+
+
 def test_report_round_trip(spark):
     fs = formula.parse("e0-e1", 5)
     rows = exact.function_counts(exact.all_worlds(spark, 5), BRIDGE, fs)

@@ -16,7 +16,7 @@ from tidegraph.functions.formula import parse
 from tidegraph.functions.states import decode, random_world, uniform
 from tidegraph.operators import components, empirical, estimators, exact, mincut, sampling
 from tidegraph.plans import harness
-from tidegraph.plans.lineage import cut
+from tidegraph.plans.lineage import cut, shared_path
 from tidegraph.sources import graphs
 from tidegraph.sources.graphs import Graph
 
@@ -56,16 +56,9 @@ def trade_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.least("c_nationkey", "s_nationkey").alias("a"), F.greatest("c_nationkey", "s_nationkey").alias("b")).agg(F.sum("n").alias("n"))
 
 
-_held: dict[tuple[str, str], tuple[list[tuple[int, int, int]], list[int]]] = {}
-
-
 def _busiest(spark: SparkSession, sf_dir: str) -> list[tuple[int, int, int]]:
-    """The busiest pairs (a, b, n); sixteen rows, once for each application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _held:
-        rows = trade_pairs(spark, sf_dir).orderBy(F.desc("n"), "a", "b").limit(EDGES).collect()
-        _held[key] = [(r.a, r.b, r.n) for r in rows]
-    return _held[key]
+    """The busiest pairs (a, b, n); sixteen rows."""
+    return [(r.a, r.b, r.n) for r in trade_pairs(spark, sf_dir).orderBy(F.desc("n"), "a", "b").limit(EDGES).collect()]
 
 
 def trade_graph(spark: SparkSession, sf_dir: str) -> tuple[Graph, list[int]]:
@@ -285,6 +278,16 @@ def reduced_graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.reduced_graph(_nation_components(spark, sf_dir), edges)
 
 
+@query(f"{_TRADE}, walk(v, u) AS (SELECT n_nationkey, n_nationkey FROM nation UNION SELECT w.v, CASE WHEN top.a = w.u THEN top.b ELSE top.a END FROM walk AS w JOIN top ON (top.a = w.u OR top.b = w.u) AND top.e % 4 = 0), label AS (SELECT v, min(u) AS component FROM walk GROUP BY v), r AS (SELECT least(x.component, y.component) AS c1, greatest(x.component, y.component) AS c2, CAST(count(*) AS BIGINT) AS n_parallel FROM pairs JOIN label AS x ON x.v = a JOIN label AS y ON y.v = b GROUP BY 1, 2) SELECT c1, c2, n_parallel, round(pow(0.1, n_parallel), 12) AS inop, round(1 - pow(0.1, n_parallel), 12) AS op FROM r WHERE c1 <> c2")
+def reduced_graph_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of nations between the components of every fourth busy pair, without loops, with probabilities of being down and up."""
+    every = _read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("v"))
+    fixed = trade_graph_edges(spark, sf_dir).where("edge_id % 4 = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = trade_pairs(spark, sf_dir).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    out = components.reduced_graph(components.component_labels(every, fixed), edges, P, loops=False)
+    return out.select("c1", "c2", "n_parallel", F.round("inop", 12).alias("inop"), F.round("op", 12).alias("op"))
+
+
 @query(
     f"""{_TRADE}, walk(u, v, d) AS (
   SELECT i, i, 0 FROM names
@@ -382,6 +385,20 @@ def unfinished_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.unfinished(scenario_grid(spark, sf_dir), results)
 
 
+@query(
+    """WITH r AS (SELECT CAST(o_custkey % 40 AS INTEGER) AS scenario_id, o_totalprice AS estimate, 1 + o_orderkey % 9 AS seconds FROM orders
+), truth AS (SELECT CAST(c_custkey % 40 AS INTEGER) AS scenario_id, 200000 + avg(c_acctbal) AS truth FROM customer WHERE c_custkey % 40 < 30 GROUP BY 1
+), s AS (SELECT scenario_id, CAST(count(*) AS BIGINT) AS n, avg(estimate) AS mean, var_samp(estimate) AS v, avg(seconds) AS t FROM r GROUP BY 1)
+SELECT scenario_id, n, round(v * t / 1e9, 5) AS wnv, round(v * t / mean / mean, 8) AS wnrv, round(mean - truth, 4) AS bias, round((v + pow(mean - truth, 2)) / 1e9, 5) AS mse FROM s LEFT JOIN truth USING (scenario_id)"""
+)
+def work_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variances times the work, bias and mean squared error of scenarios; a quarter of them have no known truth."""
+    results = _read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).cast("int").alias("scenario_id"), F.col("o_totalprice").alias("estimate"), (1 + F.col("o_orderkey") % 9).alias("seconds"))
+    truth = _read(spark, sf_dir, "customer").where("c_custkey % 40 < 30").groupBy((F.col("c_custkey") % 40).cast("int").alias("scenario_id")).agg((200000 + F.avg("c_acctbal")).alias("truth"))
+    out = harness.statistics(results, seconds="seconds", truth=truth)
+    return out.select("scenario_id", "n", F.round(F.col("wnv") / 1e9, 5).alias("wnv"), F.round("wnrv", 8).alias("wnrv"), F.round("bias", 4).alias("bias"), F.round(F.col("mse") / 1e9, 5).alias("mse"))
+
+
 @query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 4) AS mean, round(sqrt(var_samp(l_extendedprice)), 4) AS sd, round(sqrt(var_samp(l_extendedprice)) / avg(l_extendedprice), 6) AS re FROM lineitem GROUP BY 1")
 def scenario_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = harness.statistics(_read(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
@@ -401,6 +418,24 @@ def bootstrap_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rep", "n", F.round(F.sqrt("variance"), 3).alias("sd"))
 
 
+@query(
+    f"""WITH r AS (SELECT CAST(range // 20 AS INTEGER) AS batch, CAST(range % 20 AS BIGINT) AS replicate FROM range(45))
+SELECT batch, replicate, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice), 4) AS estimate FROM r, orders WHERE {_U('3000009 + batch', 'replicate', 'o_orderkey')} < 0.05 GROUP BY 1, 2"""
+)
+def resumed_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replicates of a mean over hashed subsets of the orders: 30 in batches of 20, then 45; the short batch is made good."""
+    orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+
+    def run(spark: SparkSession, g: None, p: float, method: str, n: int, seed: int, count: int) -> DataFrame:
+        each = orders.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("replicate"))
+        return each.where(uniform(seed, F.col("replicate"), F.col("o_orderkey")) < p).groupBy("replicate").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("estimate"))
+
+    path = shared_path(spark, "resumed")
+    for reps in (30, 45):
+        harness.resume(spark, path, 3, None, 0.05, "mean", 1, reps, 20, run)
+    return spark.read.parquet(path).select("batch", "replicate", "n", F.round("estimate", 4).alias("estimate"))
+
+
 @query("SELECT CAST(CASE WHEN o_totalprice < 0 THEN 0 WHEN o_totalprice >= 400000 THEN 21 ELSE floor(o_totalprice / 20000) + 1 END AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
 def variance_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harness.histogram(_read(spark, sf_dir, "orders"), "o_totalprice", 0.0, 400000.0, 20)

@@ -29,20 +29,28 @@ def unfinished(scenarios: DataFrame, results: DataFrame) -> DataFrame:
     return rows.where(F.col("left") > 0).drop("done")
 
 
-def resume(spark: SparkSession, path: str, scenario_id: int, g: Graph, p: float, method: str, n: int, reps: int, batch: int = 100, run: Callable[..., DataFrame] = replicates) -> int:
-    """Write the batches of a scenario that are not there yet, each a partition of its own; returns how many were written."""
-    batches = -(-reps // batch)
+def resume(spark: SparkSession, path: str, scenario_id: int, g: Graph | None, p: float, method: str, n: int, reps: int, batch: int = 100, run: Callable[..., DataFrame] = replicates) -> int:
+    """Write the batches of a scenario that lack replicates, each a partition of its own; returns how many were written.
+
+    A batch's replicates depend on the scenario, the batch and their number alone, so
+    a batch that is there but short is written anew, in place of what was there, and
+    a call that broke off is made good by the next.  Batches that hold more than is
+    asked for stay.
+    """
     try:
-        have = {r.batch for r in spark.read.parquet(path).where(F.col("scenario_id") == scenario_id).select("batch").distinct().collect()}
+        rows = spark.read.parquet(path).where(F.col("scenario_id") == scenario_id).groupBy("batch").agg(F.count("*").alias("n"))
+        have = {r.batch: r.n for r in rows.collect()}
     except Exception as e:  # nothing written yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        have = set()
-    for b in range(batches):
-        if b not in have:
-            rows = run(spark, g, p, method, n, seed=1_000_003 * scenario_id + b, count=min(batch, reps - b * batch))
-            rows.select(F.lit(scenario_id).alias("scenario_id"), F.lit(b).alias("batch"), "*").write.mode("append").partitionBy("scenario_id", "batch").parquet(path)
-    return batches - len(have)
+        have = {}
+    sizes = {b: min(batch, reps - b * batch) for b in range(-(-reps // batch))}
+    short = [b for b, size in sizes.items() if have.get(b, 0) < size]
+    for b in short:
+        rows = run(spark, g, p, method, n, seed=1_000_003 * scenario_id + b, count=sizes[b])
+        named = rows.select(F.lit(scenario_id).alias("scenario_id"), F.lit(b).alias("batch"), "*")
+        named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scenario_id", "batch").parquet(path)
+    return len(short)
 
 
 def statistics(results: DataFrame, key: str = "scenario_id", estimate: str = "estimate", seconds: str | None = None, truth: DataFrame | None = None) -> DataFrame:

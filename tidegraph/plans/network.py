@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +11,11 @@ from tidegraph.functions.states import decode, random_world
 from tidegraph.operators import archives, components, empirical, estimators, exact, flow
 from tidegraph.plans import harness
 from tidegraph.plans.catalogue import _BIT, _DOWN, _EXACT, _TRADE, _U, _UNRELIABLE, _WORLDS, EDGES, FORMULAS, ORACLE, QUERIES, SEED, P, _read, query, trade_graph, trade_graph_edges
-from tidegraph.plans.lineage import cut
+from tidegraph.plans.lineage import cut, shared_path
 from tidegraph.sources import graphs
 from tidegraph.sources.graphs import Graph
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    cut(spark.range(1))  # the checkpoint folder is set
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def _values(rows: list[tuple], names: str) -> str:
     text = lambda x: f"'{x}'" if isinstance(x, str) else str(x).lower() if isinstance(x, bool) else str(x)
     return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({names})"
@@ -168,7 +161,7 @@ def function_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_WORLDS}{_DOWN} SELECT CAST(bit_count(id) AS INTEGER) AS n_edges, CAST({formula.parse('e0*e1+e2', EDGES)[0].sql(_BIT)} AS BIGINT) AS value, CAST(count(*) AS BIGINT) AS n FROM down GROUP BY 1, 2")
 def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An enumeration written as text with its head, and read strictly."""
-    g, path = trade_graph(spark, sf_dir)[0], _folder(spark, "report")
+    g, path = trade_graph(spark, sf_dir)[0], shared_path(spark, "report")
     counts = exact.function_counts(exact.all_worlds(spark, EDGES), g, formula.source(EDGES, function="e0*e1+e2"))
     exact.report(counts, g, ["e0*e1+e2"]).orderBy("line").select("value").write.text(path)
     return exact.read_report(spark.read.text(path))
@@ -201,7 +194,7 @@ def graph_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = sorted((min(e), max(e)) for e in g.edges)
     matrix = [[int((min(a, b), max(a, b)) in pairs) for b in range(9)] for a in range(9)]
     near = {f"v{a}": [b + 1 for b in range(9) if matrix[a][b]] for a in range(9)}
-    path = _folder(spark, "grid")
+    path = shared_path(spark, "grid")
     graphs.grid_graphml(spark, 3).coalesce(1).sortWithinPartitions("line").select("value").write.text(path)
     forms = {"adjacency": graphs.convert(matrix), "neighbours": graphs.convert(near), "edges": graphs.convert(list(g.edges)), "file": graphs.read_graphml(spark, path)}
     rows = [(k, x.vertices, len(x.edges), sorted((min(e), max(e)) for e in x.edges) == pairs) for k, x in forms.items()]
@@ -217,7 +210,7 @@ def graph_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind saved, recognised and read back with its checks; n counts edges for the context, else rows."""
     g = trade_graph(spark, sf_dir)[0]
-    top = _folder(spark, "archives")
+    top = shared_path(spark, "archives")
     worlds = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"), random_world(EDGES, 0.7, SEED, F.col("o_orderkey")).alias("world"))
     states = cut(worlds.select("obs_id", decode(F.col("world"), EDGES).alias("state")))
     far = [[float(a != b) * 2 for b in range(EDGES)] for a in range(EDGES)]
@@ -284,12 +277,14 @@ def plotted_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scenario_id", "method", "n", F.round("mean", 4).alias("mean"), F.round("mean_re", 6).alias("mean_re"))
 
 
-@query("SELECT o_orderstatus, concat('Estimate ', mean) AS value FROM (SELECT o_orderstatus, CAST(count(*) AS VARCHAR) AS mean FROM orders GROUP BY 1)")
+@query("WITH s AS (SELECT avg(o_totalprice) AS mean, sqrt(var_samp(o_totalprice) / count(*)) / avg(o_totalprice) AS e FROM orders GROUP BY o_orderstatus) SELECT CAST(count(*) AS BIGINT) AS n, round(sum(mean), 3) AS estimates, round(sum(e), 6) AS errors FROM s")
 def estimate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of estimates, read back as whole numbers."""
-    counts = _read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").cast("double").alias("mean"))
-    lines = counts.withColumn("value", F.col("mean")).select("o_orderstatus", F.format_string("Estimate %.0f", "value").alias("value"))
-    return lines
+    """Statistics printed as lines with their relative errors, written as text, and the numbers read back."""
+    stats = harness.statistics(_read(spark, sf_dir, "orders"), "o_orderstatus", "o_totalprice")
+    path = shared_path(spark, "lines")
+    harness.estimate_lines(stats).select("value").write.text(path)
+    number = lambda k: F.regexp_extract("value", r"^Estimate (\S+), relative error (\S+)$", k).cast("double")
+    return spark.read.text(path).agg(F.count("*").alias("n"), F.round(F.sum(number(1)), 3).alias("estimates"), F.round(F.sum(number(2)), 6).alias("errors"))
 
 
 @query("SELECT CAST(1 AS BIGINT) AS roots, true AS sums, true AS graphml")
