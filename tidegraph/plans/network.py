@@ -58,31 +58,33 @@ def dodecahedron7_dp_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_states(spark, graphs.dodecahedron((0, 3, 6, 9, 12, 15, 19)))
 
 
-#: Runs of each method: sample size, replicates, and whether the second column holds a variance estimate.
-RUNS = {"importance": (100, 100), "wor": (10, 100), "wor_merge": (10, 100), "fearnhead": (10, 100), "wor_variance": (10, 50), "wor_merge_variance": (10, 50), "residual": (50, 50), "turnip": (20, 50), "conditional_turnip": (20, 50)}
+#: Runs of each method: sample size, replicates, and how far their mean may be from the truth, as a share of it.
+RUNS = {
+    "importance": (100, 100, 0.01), "wor": (10, 100, 0.01), "wor_merge": (10, 100, 0.01), "fearnhead": (10, 100, 0.01), "wor_variance": (10, 100, 0.02), "wor_merge_variance": (10, 100, 0.01),
+    "residual": (50, 100, 0.02), "turnip": (100, 100, 0.05), "conditional_turnip": (100, 100, 0.05),
+}
 
 
-def _near(rows: DataFrame, truth: DataFrame, share: float = 1e-9) -> DataFrame:
-    """(n, within): how many estimates, and whether their mean is within four standard errors, or a share, of the truth, one row, and the error itself is small."""
-    stats = rows.agg(F.count("*").alias("n"), F.avg("estimate").alias("mean"), F.stddev_samp("estimate").alias("sd"))
+def _near(rows: DataFrame, truth: DataFrame, share: float, digits: int = 9) -> DataFrame:
+    """(n, unreliability, within): how many estimates, the exact value of one row, and whether their mean is within a share of it that is fixed beforehand."""
+    stats = rows.agg(F.count("*").alias("n"), F.avg("estimate").alias("mean"))
     both = stats.crossJoin(F.broadcast(truth.toDF("truth")))  # a row each
-    error = F.col("sd") / F.sqrt("n")
-    return both.select("n", ((F.abs(F.col("mean") - F.col("truth")) <= 4 * error + share * F.col("truth")) & (error < F.col("truth"))).alias("within"))
+    return both.select("n", F.round("truth", digits).alias("unreliability"), (F.abs(F.col("mean") / F.col("truth") - 1) <= share).alias("within"))
 
 
 def _trade_runs(method: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = trade_graph(spark, sf_dir)[0]
-        n, count = RUNS[method]
+        n, count, share = RUNS[method]
         truth = exact.polynomial(exact.enumerate_counts(spark, g), EDGES, P)
-        return _near(estimators.replicates(spark, g, P, method, n, SEED, count), truth)
+        return _near(estimators.replicates(spark, g, P, method, n, SEED, count), truth, share)
 
     return run
 
 
-for _name, (_, _count) in RUNS.items():
+for _name, (_, _count, _) in RUNS.items():
     QUERIES[f"{_name}_replicates"] = _trade_runs(_name)
-    ORACLE[f"{_name}_replicates"] = f"SELECT CAST({_count} AS BIGINT) AS n, true AS within"
+    ORACLE[f"{_name}_replicates"] = f"{_WORLDS}{_DOWN} SELECT CAST({_count} AS BIGINT) AS n, round({_UNRELIABLE}, 9) AS unreliability, true AS within FROM down"
 
 
 #: Graphs of the benchmark scenarios, each with a probability and its exact unreliability.
@@ -97,17 +99,16 @@ SCENARIOS = {
 
 @query(f"SELECT graph, method, CAST(24 AS BIGINT) AS n, true AS within FROM {_values([(g,) for g in SCENARIOS], 'graph')}, (VALUES ('wor_merge'), ('fearnhead')) AS m(method)")
 def scenario_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare failures of all benchmark graphs, up to 162 edges, against the exact values.
+    """Rare failures of all benchmark graphs, up to 162 edges, against the exact values: means within a quarter of them.
 
     Nearly all of so rare an estimate comes from the minimum cuts, which every
-    replicate holds; the rest is a tail that few replicates see, so a hundredth of
-    the truth counts as near.
+    replicate holds; the rest is a tail that few replicates see.
     """
     out = None
     for name, (make, p, true) in SCENARIOS.items():
         truth = spark.createDataFrame([(true,)], "truth double")
         for method in ("wor_merge", "fearnhead"):
-            row = _near(estimators.replicates(spark, make(), p, method, 20, SEED, 24), truth, 0.01).select(F.lit(name).alias("graph"), F.lit(method).alias("method"), "n", "within")
+            row = _near(estimators.replicates(spark, make(), p, method, 20, SEED, 24), truth, 0.25).select(F.lit(name).alias("graph"), F.lit(method).alias("method"), "n", "within")
             out = row if out is None else out.unionByName(row)
     return out
 
@@ -120,7 +121,7 @@ def grid9_crude_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row.select("n", (F.abs(F.col("estimate") - true) < 4 * F.sqrt(F.lit(true) / F.col("n"))).alias("within"))
 
 
-_CONTINUED = f"{_WORLDS}, cond AS (SELECT id FROM worlds WHERE (id & 1) = 0 AND id NOT IN (SELECT id FROM ok)) SELECT CAST(60 AS BIGINT) AS n, true AS within"
+_CONTINUED = f"{_WORLDS}{_DOWN} SELECT CAST(60 AS BIGINT) AS n, round({_UNRELIABLE}, 9) AS unreliability, true AS within FROM down WHERE (id & 1) = 0"
 
 
 @query(_CONTINUED)
@@ -130,7 +131,7 @@ def continued_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     worlds = exact.with_connected(exact.all_worlds(spark, EDGES).where("world % 2 = 0"), g).where("not connected")
     up = F.bit_count("world")
     truth = worlds.agg(F.sum(F.pow(F.lit(P), up) * F.pow(F.lit(1 - P), EDGES - up)))
-    return _near(estimators.replicates(spark, g, P, "continued_importance", 100, SEED, 60), truth)
+    return _near(estimators.replicates(spark, g, P, "continued_importance", 100, SEED, 60), truth, 0.01)
 
 
 @query(f"SELECT graph, CAST(mincut AS BIGINT) AS mincut FROM {_values([('grid9', 2), ('grid9_hubs', 9), ('series', 2), ('parallel', 6), ('dodecahedron', 3), ('grid9 whole', 2), ('doubled', 6)], 'graph, mincut')}")
