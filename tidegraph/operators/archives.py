@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.states import DOWN, FIXED_DOWN, FIXED_UP, FREE_UP
+from tidegraph.operators.scan import around
+from tidegraph.plans.lineage import cut
 from tidegraph.sources.graphs import Graph, probability
 
 #: The kinds, each with the columns that its rows have.
@@ -91,10 +93,10 @@ def check_tree(tree: DataFrame) -> DataFrame:
 
 
 def level_offsets(tree: DataFrame) -> DataFrame:
-    """(level, size, first): nodes of each level and how many come before it; as many rows as levels."""
-    sizes = tree.groupBy("level").agg(F.count("*").alias("size"))
-    before = F.sum("size").over(Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1))
-    return sizes.select("level", "size", F.coalesce(before, F.lit(0)).alias("first"))
+    """(level, size, first): nodes of each level and how many come before it."""
+    sizes = cut(tree.groupBy("level").agg(F.count("*").alias("size")))
+    before = around(sizes.select(F.col("level").cast("long").alias("part"), F.array("size").alias("value")), lambda a, b: a + b, [0])
+    return sizes.join(before, F.col("level") == F.col("part")).select("level", "size", F.col("before")[0].alias("first"))
 
 
 def leftmost_child(tree: DataFrame, left: Column) -> DataFrame:
