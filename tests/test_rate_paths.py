@@ -1,5 +1,6 @@
 """Meeting repairs and rate paths of many worlds against plain repair in order."""
 
+import itertools
 import math
 import random
 
@@ -80,3 +81,23 @@ def test_empty_and_bad_arguments(spark):
     assert rp.permutation_estimates(none, (0, 1)).count() == 0 and rp.meetings(none).count() == 0
     with pytest.raises(ValueError):
         rp.rate_paths(none, (1, 1))
+
+
+def test_all_orders_average_to_the_exact_value(spark):
+    """Over every order of five edges both estimators' means are the unreliability by enumeration; a minimum cut has two edges."""
+    p, ends = 0.8, [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]
+    orders = list(itertools.permutations(range(5)))
+    rate = -math.log1p(-p)
+    rows = [(w, e, *ends[e], float(place), rate) for w, order in enumerate(orders) for place, e in enumerate(order)]
+    edges = spark.createDataFrame(rows, "world long, edge_id int, src int, dst int, t double, rate double")
+    exact = 0.0
+    for up in itertools.product((0, 1), repeat=5):
+        seen = {0}
+        for _ in range(4):
+            seen |= {v for e, on in zip(ends, up) if on and seen & set(e) for v in e}
+        if 3 not in seen:
+            exact += math.prod(p if on else 1 - p for on in up)
+    turnip = [x.estimate for x in rp.permutation_estimates(edges, (0, 3)).collect()]
+    assert len(turnip) == 120 and math.fsum(turnip) / 120 == pytest.approx(exact, rel=1e-9)
+    given = rp.conditional_estimates(rp.critical_places(edges, (0, 3)), p, 2).collect()
+    assert math.fsum(x.n * x.estimate for x in given) / 120 == pytest.approx(exact, rel=1e-9)
