@@ -641,6 +641,73 @@ def test_quality(spark):
     assert quality.fit(docs.limit(0)) is None and quality.score(docs, None).where("score = 0.5").count() == docs.count()
 
 
+def _plain_votes(text):
+    """The votes of one text, counted byte by byte and word by word."""
+    data = (text or "").encode()
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    n, some, many = len(words), len(words) >= 8, len(words) >= 40
+    share = lambda k: k / max(n, 1)
+    odd = sum(not letter(c) and not 48 <= c <= 57 and c not in b" \t\r\n\x0b\x0c.,;:!?'\"()-" for c in data)
+    neat = [w for w in words if sum(map(letter, w)) >= max(len(w) - 1, 1) and not (len(w) >= 2 and not letter(w[-1]) and not letter(w[-2]))]
+    symbols, capitals = odd / max(len(data), 1), sum(65 <= c <= 90 for c in data) / max(sum(map(letter, data)), 1)
+    repeats, variety = share(sum(a == b for a, b in zip(words, words[1:]))), len(set(words)) / max(math.sqrt(n), 1)
+    clean, size, stops = share(len(neat)), share(sum(map(len, words))), share(sum(w[-1:] in (b".", b"!", b"?") for w in words))
+    good_bad = [
+        (symbols < 0.002, symbols > 0.02), (capitals < 0.08, capitals > 0.3 and some), (repeats < 0.02, repeats > 0.04 and some), (variety > 5.5, variety < 4 and many),
+        (clean > 0.95, clean < 0.8), (4.3 < size < 6.3, (size < 4 or size > 7) and some), (0.03 < stops < 0.25, (stops > 0.5 or stops == 0) and some),
+    ]
+    return tuple(-1 if bad else int(good) for good, bad in good_bad)
+
+
+def test_quality_by_plain_estimation(spark):
+    """Expectation maximisation document by document, posteriors over both classes, and a scorer fitted on a dense matrix."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("etaoinsrhldé") for _ in range(r.randrange(1, 9)))
+    kinds = [lambda: " ".join(word() for _ in range(11)) + ".", lambda: word() + "$$#", lambda: "THE THE", lambda: word().upper() + "!!", lambda: word()]
+    rows = [(d, " ".join(kinds[0 if r.random() < 0.6 else r.randrange(5)]() for _ in range(r.randrange(1, 25)))) for d in range(160)]
+    rows += [rows[3]] * 40 + ODD
+    docs = frame(spark, rows)
+    v = [_plain_votes(t) for _, t in rows]
+    post = [0.95 if not x.count(-1) else 0.4 if x.count(-1) == 1 else 0.05 for x in v]
+    guess = [{-1: 6.0, 0: 0.0, 1: 1.0}, {-1: 1.0, 0: 0.0, 1: 6.0}]
+    for _ in range(200):
+        prior = (math.fsum(post) + 2) / (len(v) + 3)
+        rates = []
+        for c in (0, 1):
+            own = [dict(guess[c]) for _ in range(7)]
+            for x, p in zip(v, post):
+                for k in range(7):
+                    own[k][x[k]] += p if c else 1 - p
+            rates.append([{a: 1.0 if a == 0 else o[a] / (o[-1] + o[1]) for a in o} for o in own])
+        both = [[(prior if c else 1 - prior) * math.prod(rates[c][k][x[k]] for k in range(7)) for c in (0, 1)] for x in v]
+        post = [good / (bad + good) for bad, good in both]
+
+    dense = np.zeros((len(rows), quality.WIDTH + 1))
+    for d, (_, t) in enumerate(rows):
+        buf, offsets = next((b, o) for _, _, b, o in textkit.chunks(pa.array([t], pa.string())))
+        _, f, x = quality._features(buf, offsets, quality.measures(buf, offsets))
+        np.add.at(dense[d], f, x.astype(np.float32).astype(float))
+    dense[:, -1] = 1
+    kept = [rows.index(x) for x in dict.fromkeys(rows)]
+    X, y, w, g2 = dense[kept], np.array(post)[kept], np.zeros(quality.WIDTH + 1), np.full(quality.WIDTH + 1, 1e-8)
+    for _ in range(150):
+        g = X.T @ (1 / (1 + np.exp(-X @ w)) - y) / len(y) + 1e-5 * w
+        g2 += g * g
+        w -= 0.3 * g / np.sqrt(g2)
+    score = 1 / (1 + np.exp(-dense @ w))
+
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    got = sorted(quality.score(docs, quality.fit(docs)).collect(), key=key)
+    want = sorted(zip(rows, post, score), key=lambda x: key(x[0]))
+    assert len(got) == len(want)
+    for a, (row, p, s) in zip(got, want):
+        assert (a.doc_id, a.text) == row and a.weak_label == pytest.approx(p, abs=1e-6)
+        assert a.score == pytest.approx(s, abs=1e-4)
+    few = quality.fit(docs, sample=5)
+    assert few[1].shape == (quality.WIDTH + 1,) and np.isfinite(few[1]).all()
+
+
 # --- op10 -------------------------------------------------------------------------
 
 

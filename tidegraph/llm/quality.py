@@ -4,7 +4,9 @@ Heuristic labellers vote good, bad or abstain on each document.  Expectation
 maximisation estimates each labeller's accuracy and the share of good documents
 from the counts of vote patterns over all documents; a pattern's posterior is the
 training label of its documents.  A linear scorer over hashed features learns the
-posteriors from at most ``SAMPLE`` documents and scores every whole text.
+posteriors from at most ``SAMPLE`` documents and scores every whole text.  A row that
+is repeated (id and text) counts each time for the labellers and once for the scorer.
+Texts of any length are measured whole; a score of exactly 0.5 counts as good.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.textkit import ALNUM, Words, chunks, cores, fold_case, mix, span_hashes
+from tidegraph.llm.textkit import ALNUM, Words, chunks, cores, fold_case, mix, span_hashes, tidy
 
-#: Documents that the scorer learns from at most, the first by hash of id and text.
+#: Different documents that the scorer learns from at most, the first by hash of id and text.
 SAMPLE = 20_000
 #: Hashed features.
 WIDTH = 1 << 14
@@ -151,28 +153,28 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", samp
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"pattern": at, "n": total[at]})
 
-    rows = part.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    rows = part.mapInArrow(tidy(count), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
     if not len(rows):
         return None
     model = LabelModel(rows["pattern"].to_numpy(), rows["n"].to_numpy())
     held = docs.sparkSession.sparkContext.broadcast(model)
-    keys = part.select(F.xxhash64("id", "text").alias("h"))
-    limit = keys.orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    part = part.withColumn("h", F.xxhash64("id", "text"))
+    limit = part.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         label = held.value
         for b in batches:
-            for _, _, buf, offsets in chunks(b.column(1)):
+            for i, j, buf, offsets in chunks(b.column(1)):
                 m = measures(buf, offsets)
                 d, f, x = _features(buf, offsets, m)
                 order = np.lexsort((f, d))
                 cut_at = np.searchsorted(d[order], np.arange(len(offsets)))
                 at = pa.array(cut_at, pa.int32())
-                yield pa.RecordBatch.from_pydict({"y": label(votes(m)), "f": pa.ListArray.from_arrays(at, pa.array(f[order], pa.int32())), "x": pa.ListArray.from_arrays(at, pa.array(x[order], pa.float32()))})
+                yield pa.RecordBatch.from_pydict({"h": b.column(2).slice(i, j - i), "y": label(votes(m)), "f": pa.ListArray.from_arrays(at, pa.array(f[order], pa.int32())), "x": pa.ListArray.from_arrays(at, pa.array(x[order], pa.float32()))})
 
-    # the scorer's gradient is summed on the driver over at most ``sample`` documents, and equal rows beyond them
-    chosen = part.where(F.xxhash64("id", "text") <= limit).limit(sample)
-    seen = chosen.mapInArrow(learn, "y double, f array<int>, x array<float>").toArrow()
+    # the scorer's gradient is summed on the driver over at most ``sample`` documents, in the order of their hashes
+    chosen = part.where(F.col("h") <= limit).dropDuplicates(["h"])
+    seen = chosen.mapInArrow(tidy(learn), "h long, y double, f array<int>, x array<float>").toArrow().sort_by("h")
     lists = seen["f"].combine_chunks()
     f, x = lists.flatten().to_numpy(), seen["x"].combine_chunks().flatten().to_numpy().astype(float)
     y, size = seen["y"].to_numpy(), lists.value_lengths().to_numpy()
@@ -215,4 +217,4 @@ def score(docs: DataFrame, fitted: tuple[LabelModel, np.ndarray] | None, *, text
             s = np.concatenate(own)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(weak)), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "weak_label", "score", "predicted"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
