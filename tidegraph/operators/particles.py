@@ -22,6 +22,9 @@ from tidegraph.operators.mincut import split_size
 from tidegraph.plans.lineage import cut
 from tidegraph.sources.graphs import Graph
 
+#: Rounds between checkpoints.
+ROUNDS = 4
+
 
 def _split(rows: DataFrame, a: int, b: int, p: float) -> DataFrame:
     """Two rows for each whose ends of the edge lie in different components, and one for the others."""
@@ -72,7 +75,7 @@ def _likeliest(g: Graph, first: int, q: float) -> Callable[..., Column]:
             out.append(known[x])
         return pd.Series(out, dtype=float)
 
-    return chance
+    return chance.asNondeterministic()  # so that a filter on its values does not run it again
 
 
 def splitting(spark: SparkSession, g: Graph, p: float, n: int, replicates: int, seed: int = 1) -> DataFrame:
@@ -85,12 +88,15 @@ def splitting(spark: SparkSession, g: Graph, p: float, n: int, replicates: int,
     last = {v: k for k, e in enumerate(g.edges) for v in e}
     apart = F.size(F.array_distinct(F.array(*(F.col("labels")[t] for t in sorted(set(g.terminals)))))) > 1
     start = spark.range(replicates).select(F.col("id").alias("replicate"), F.array(*map(F.lit, range(g.vertices))).alias("labels"), F.lit(1.0).alias("weight"))
-    rows = start.repartition("replicate")
+    rows = start
     for k, (a, b) in enumerate(g.edges):
         gone = sorted(v for v, at in last.items() if at <= k and v not in g.terminals)
         rows = _split(rows, a, b, p).where(apart).select("replicate", _forget(gone).alias("labels"), "weight")
-        rows = cut(rows.groupBy("replicate", "labels").agg(F.sum("weight").alias("weight")))
+        # the one exchange of a round: states are merged and sampled where their replicate lies
+        rows = rows.repartition("replicate").groupBy("replicate", "labels").agg(F.sum("weight").alias("weight"))
         sized = rows.withColumn("size", F.col("weight") * _likeliest(g, k + 1, 1 - p)("labels"))
-        rows = cut(threshold_by_group(sized, "replicate", ["labels"], "size", n, uniform(seed, F.col("replicate"), k)).select("replicate", "labels", (F.col("weight") / F.col("pi")).alias("weight")))
+        rows = threshold_by_group(sized, "replicate", ["labels"], "size", n, uniform(seed, F.col("replicate"), k)).select("replicate", "labels", (F.col("weight") / F.col("pi")).alias("weight"))
+        if k % ROUNDS == ROUNDS - 1:
+            rows = cut(rows)
     sums = rows.groupBy("replicate").agg(F.sum("weight").alias("estimate"))
     return spark.range(replicates).select(F.col("id").alias("replicate")).join(sums, "replicate", "left").select("replicate", F.coalesce("estimate", F.lit(0.0)).alias("estimate"))

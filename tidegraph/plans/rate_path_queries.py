@@ -1,4 +1,4 @@
-"""Registered queries of permutation Monte Carlo on tables: each customer is a world with its own hashed repair times."""
+"""Registered queries of estimators on tables: each customer is a world with its own hashed repair times, or a replicate."""
 
 from __future__ import annotations
 
@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.states import uniform
-from tidegraph.operators import mincut, rate_paths
-from tidegraph.plans.catalogue import _PAIRS, _TRADE, _U, P, SEED, _read, query, trade_graph
+from tidegraph.operators import mincut, particles, rate_paths
+from tidegraph.plans.catalogue import _DOWN, _PAIRS, _TRADE, _U, _WORLDS, P, SEED, _read, query, trade_graph
 from tidegraph.plans.lineage import cut
+from tidegraph.plans.network import _UNRELIABLE
 from tidegraph.plans.networks_of_tables import nation_pairs
 from tidegraph.sources.graphs import Graph
 
@@ -103,3 +104,16 @@ def nation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rate_paths.rate_paths(cut(edges), terminals)
     whole = path.groupBy("world").agg(F.count("*").alias("steps"), F.sum("live").alias("live"), F.round(F.sum(1 / F.col("rate")), 8).alias("mean_time"), F.bool_or("connects").alias("whole"))
     return whole.where("whole").drop("whole")
+
+
+#: Particles of a sampled replicate, and the share that the mean over all replicates may be off, fixed beforehand.
+PARTICLES, SHARE = 10, 0.05
+
+
+@query(f"{_WORLDS}{_DOWN} SELECT (SELECT CAST(count(*) AS BIGINT) FROM customer) AS n, round({_UNRELIABLE}, 9) AS unreliability, true AS within FROM down")
+def splitting_on_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trade network by splitting over a table of particles: one replicate that keeps every state, and how near to it the mean of small replicates, one a customer, comes."""
+    g = trade_graph(spark, sf_dir)[0]
+    whole = particles.splitting(spark, g, P, 1 << len(g.edges), 1, SEED).select(F.col("estimate").alias("whole"))
+    stats = particles.splitting(spark, g, P, PARTICLES, _read(spark, sf_dir, "customer").count(), SEED).agg(F.count("*").alias("n"), F.avg("estimate").alias("mean"))
+    return stats.crossJoin(F.broadcast(whole)).select("n", F.round("whole", 9).alias("unreliability"), (F.abs(F.col("mean") / F.col("whole") - 1) <= SHARE).alias("within"))  # a row each
