@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds after which Py4J, which looks ten times a second, has told the JVM what Python dropped.
+TOLD = 0.3
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
@@ -43,9 +47,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files and checkpoints that nothing refers to any more, before the next large step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files, broadcasts and checkpoints that nothing refers to any more, before the next large step."""
+    for _ in range(2):  # the first frees the plans that hold a shuffle, the second what they held
+        gc.collect()
+        time.sleep(TOLD)  # until then the JVM holds what Python dropped
+        spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
