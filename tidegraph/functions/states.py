@@ -43,8 +43,9 @@ def up_count(world: Column) -> Column:
 
 
 def decode(world: Column, edges: int) -> Column:
-    """A world's states as an array of codes."""
-    return F.transform(F.sequence(F.lit(0), F.lit(edges - 1)), lambda e: F.when(is_up(world, e) == 1, F.lit(FREE_UP)).otherwise(F.lit(FREE_DOWN)).cast("tinyint"))
+    """A world's states as an array of codes; the world is formed once, not once an edge."""
+    codes = lambda w: F.transform(F.sequence(F.lit(0), F.lit(edges - 1)), lambda e: F.when(is_up(w, e) == 1, F.lit(FREE_UP)).otherwise(F.lit(FREE_DOWN)).cast("tinyint"))
+    return F.transform(F.array(world), codes)[0]
 
 
 def encode(states: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +36,35 @@ def to_collection(sample: DataFrame, states: str = "state") -> DataFrame:
     return sample.select("obs_id", fixed.alias("state"))
 
 
+def _cover(old: np.ndarray, near: Sequence[Sequence[int]]) -> np.ndarray:
+    """States (rows: observations) of the greedy cover; ``near`` has the later edges within the radius of each."""
+    new, covered, down = np.full(old.shape, FIXED_UP, np.int8), np.zeros(old.shape, bool), old & DOWN != 0
+    for e, others in enumerate(near):
+        centre = down[:, e] & ~covered[:, e]
+        new[centre, e] = FIXED_DOWN
+        for k in others:
+            hit = centre & down[:, k] & ~covered[:, k]
+            covered[:, k] |= hit
+            new[hit, k] = np.where(old[hit, k] & FIXED != 0, old[hit, k], FREE_DOWN)
+    return new
+
+
+def _thinned(sample: DataFrame, distances: Sequence[Sequence[float]], radii: Sequence[float]) -> DataFrame:
+    """(level, obs_id, state): the sample covered at each radius, in one pass over it."""
+    balls = [[[k for k in range(e + 1, len(row)) if row[k] <= r] for e, row in enumerate(distances)] for r in radii]
+    m = len(distances)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            old = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, m)
+            for level, near in enumerate(balls):
+                state = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * m, pa.int32()), pa.array(_cover(old, near).ravel(), pa.int8()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level), pa.int32()), b.column(0), state], names=["level", "obs_id", "state"])
+
+    return sample.select(F.col("obs_id").cast("long"), F.col("state").cast("array<tinyint>")).mapInArrow(run, "level int, obs_id long, state array<tinyint>")
+
+
 def thin(sample: DataFrame, distances: Sequence[Sequence[float]], radius: float) -> DataFrame:
     """(obs_id, state): edges that are down, covered greedily by balls.
 
@@ -43,32 +72,13 @@ def thin(sample: DataFrame, distances: Sequence[Sequence[float]], radius: float)
     centre and is fixed down; later edges that are down within the radius keep a
     fixed state or become free; everything else is fixed up.
     """
-
-    near = [[k for k in range(e + 1, len(row)) if row[k] <= radius] for e, row in enumerate(distances)]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            old = np.array(f["state"].tolist(), np.int8).reshape(len(f), len(near))
-            new, covered, down = np.full(old.shape, FIXED_UP, np.int8), np.zeros(old.shape, bool), old & DOWN != 0
-            for e, others in enumerate(near):
-                centre = down[:, e] & ~covered[:, e]
-                new[centre, e] = FIXED_DOWN
-                for k in others:
-                    hit = centre & down[:, k] & ~covered[:, k]
-                    covered[:, k] |= hit
-                    new[hit, k] = np.where(old[hit, k] & FIXED != 0, old[hit, k], FREE_DOWN)
-            yield pd.DataFrame({"obs_id": f["obs_id"], "state": list(new)})
-
-    return sample.select("obs_id", "state").mapInPandas(run, "obs_id long, state array<tinyint>")
+    return _thinned(sample, distances, [radius]).drop("level")
 
 
 def level_tree(sample: DataFrame, distances: Sequence[Sequence[float]], radii: Sequence[float]) -> DataFrame:
     """(level, idx, parent_idx, state): each observation thinned at falling radii, its parent one level up; -1 at the root."""
-    out = None
-    for level, r in enumerate(radii):
-        rows = thin(sample, distances, r).select(F.lit(level).alias("level"), F.col("obs_id").alias("idx"), (F.lit(-1).cast("long") if level == 0 else F.col("obs_id")).alias("parent_idx"), "state")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    parent = F.when(F.col("level") == 0, F.lit(-1).cast("long")).otherwise(F.col("obs_id"))
+    return _thinned(sample, distances, radii).select("level", F.col("obs_id").alias("idx"), parent.alias("parent_idx"), "state")
 
 
 def levels(first: float, last: float | None = None, steps: int | None = None) -> list[float]:

@@ -11,7 +11,7 @@ from tidegraph.functions.states import decode, random_world
 from tidegraph.operators import archives, components, empirical, estimators, exact, flow
 from tidegraph.plans import harness
 from tidegraph.plans.catalogue import _BIT, _DOWN, _EXACT, _TRADE, _U, _UNRELIABLE, _WORLDS, EDGES, FORMULAS, ORACLE, QUERIES, SEED, P, _read, query, trade_graph, trade_graph_edges
-from tidegraph.plans.lineage import cut, shared_path
+from tidegraph.plans.lineage import cut, shared_path, spread
 from tidegraph.sources import graphs
 from tidegraph.sources.graphs import Graph
 
@@ -212,7 +212,7 @@ def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every kind saved, recognised and read back with its checks; n counts edges for the context, else rows."""
     g = trade_graph(spark, sf_dir)[0]
     top = shared_path(spark, "archives")
-    worlds = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"), random_world(EDGES, 0.7, SEED, F.col("o_orderkey")).alias("world"))
+    worlds = spread(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id")), "obs_id", EDGES).withColumn("world", random_world(EDGES, 0.7, SEED, F.col("obs_id")))
     states = cut(worlds.select("obs_id", decode(F.col("world"), EDGES).alias("state")))
     far = [[float(a != b) * 2 for b in range(EDGES)] for a in range(EDGES)]
     archives.save_context(spark, g, P, f"{top}/context")
@@ -236,7 +236,8 @@ def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH o AS (SELECT CAST(count(*) AS BIGINT) AS n FROM orders) SELECT CAST(k.range AS INTEGER) AS level, n AS size, CAST(k.range * n AS BIGINT) AS first FROM o, range(3) AS k")
 def tree_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = [[float(a != b) for b in range(4)] for a in range(4)]
-    states = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"), decode(random_world(4, 0.5, SEED, F.col("o_orderkey")), 4).alias("state"))
+    orders = spread(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id")), "obs_id", 4)
+    states = orders.select("obs_id", decode(random_world(4, 0.5, SEED, F.col("obs_id")), 4).alias("state"))
     return archives.level_offsets(empirical.level_tree(states, far, [2.0, 1.0, 0.0]))
 
 
@@ -321,5 +322,6 @@ def thinning_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     far = [[0.0] * m for _ in range(m)]
     for r in components.edge_distances(spark, g.edge_table(spark), g.vertex_table(spark).select("v")).collect():  # 12 edges
         far[r.e1][r.e2] = far[r.e2][r.e1] = float(r.d)
-    sample = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id"), decode(random_world(m, 0.6, SEED, F.col("o_orderkey")), m).alias("state"))
+    orders = spread(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("obs_id")), "obs_id", m)
+    sample = orders.select("obs_id", decode(random_world(m, 0.6, SEED, F.col("obs_id")), m).alias("state"))
     return empirical.thin(sample, far, 1.0).select("obs_id", F.array_join(F.transform("state", lambda s: s.cast("string")), "").alias("state"))
