@@ -101,3 +101,16 @@ def test_all_orders_average_to_the_exact_value(spark):
     assert len(turnip) == 120 and math.fsum(turnip) / 120 == pytest.approx(exact, rel=1e-9)
     given = rp.conditional_estimates(rp.critical_places(edges, (0, 3)), p, 2).collect()
     assert math.fsum(x.n * x.estimate for x in given) / 120 == pytest.approx(exact, rel=1e-9)
+
+
+def test_one_row_a_world_and_large_worlds(spark, monkeypatch):
+    """Worlds as rows of arrays, in arrays of a task and by rounds over tables give the same."""
+    r = random.Random(9)
+    rows = [(w, e, r.randrange(6), r.randrange(6), r.random(), r.uniform(0.1, 2)) for w in range(12) for e in range(3 + w)]
+    edges = spark.createDataFrame(rows, "world long, edge_id int, src int, dst int, t double, rate double")
+    packed = edges.selectExpr("world", "struct(edge_id, src, dst, t, rate) AS e").groupBy("world").agg({"e": "collect_list"}).toDF("world", "edges")
+    found = lambda x: [sorted((a.world, a.step, a["at"].edge_id, a.live, round(a.rate, 9), a.connects) for a in rp.rate_paths(x, (0, 1, 2)).collect()), sorted((a.world, a.edge_id, a.place) for a in rp.critical_repairs(x, (0, 1, 2)).collect())]
+    want = found(edges)
+    assert want[0] and want[1] and found(packed) == want
+    monkeypatch.setattr(rp, "WORLD", 8)
+    assert found(edges) == want

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegraph.functions.states import uniform
 from tidegraph.operators import mincut, particles, rate_paths
 from tidegraph.plans.catalogue import _DOWN, _PAIRS, _TRADE, _U, _WORLDS, P, SEED, _read, query, trade_graph
-from tidegraph.plans.lineage import cut
+from tidegraph.plans.lineage import cut, spread
 from tidegraph.plans.network import _UNRELIABLE
 from tidegraph.plans.networks_of_tables import nation_pairs
 from tidegraph.sources.graphs import Graph
@@ -22,9 +22,10 @@ REGION = 0
 
 
 def _worlds(spark: SparkSession, sf_dir: str, g: Graph) -> DataFrame:
-    """The trade network's edges in each customer's world, all with the rate of ``P`` and repair times in the order of uniforms."""
-    each = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("world")).crossJoin(F.broadcast(g.edge_table(spark)))  # sixteen edges
-    return cut(each.withColumns({"t": uniform(SEED, F.col("world"), F.col("edge_id")), "rate": F.lit(-math.log1p(-P))}))
+    """(world, edges): the trade network's edges in each customer's world, all with the rate of ``P`` and repair times in the order of uniforms."""
+    each = spread(_read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("world")), "world", len(g.edges))
+    edge = lambda k, a, b: F.struct(F.lit(k).alias("edge_id"), F.lit(a).alias("src"), F.lit(b).alias("dst"), uniform(SEED, F.col("world"), k).alias("t"), F.lit(-math.log1p(-P)).alias("rate"))
+    return each.select("world", F.array(*(edge(k, a, b) for k, (a, b) in enumerate(g.edges))).alias("edges"))  # sixteen edges
 
 
 # repairs that join two components, one a step, in each customer's world of the sixteen busiest pairs
@@ -98,10 +99,14 @@ def nation_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pairs = cut(nation_pairs(spark, sf_dir))
     terminals = [r.v for r in _read(spark, sf_dir, "nation").where(F.col("n_regionkey") == REGION).select(F.col("n_nationkey").alias("v")).join(pairs.select(F.explode(F.array("src", "dst")).alias("v")).distinct(), "v").collect()]  # a region's nations
-    rate = F.log1p(F.col("n") / ITEMS)
-    each = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("world")).crossJoin(F.broadcast(pairs))  # as many as pairs of nations
-    edges = each.select("world", (F.col("src") * 1_000 + F.col("dst")).cast("long").alias("edge_id"), "src", "dst", (-F.log(uniform(SEED, F.col("world"), F.col("src"), F.col("dst"))) / rate).alias("t"), rate.alias("rate"))
-    path = rate_paths.rate_paths(cut(edges), terminals)
+    network = pairs.agg(F.collect_list(F.struct("src", "dst", "n")).alias("pairs"))  # as many as pairs of nations
+    each = spread(_read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("world")), "world", pairs.count()).crossJoin(F.broadcast(network))
+
+    def edge(x):
+        rate = F.log1p(x["n"] / ITEMS)
+        return F.struct((x["src"] * 1_000 + x["dst"]).cast("long").alias("edge_id"), x["src"].alias("src"), x["dst"].alias("dst"), (-F.log(uniform(SEED, F.col("world"), x["src"], x["dst"])) / rate).alias("t"), rate.alias("rate"))
+
+    path = rate_paths.rate_paths(each.select("world", F.transform("pairs", edge).alias("edges")), terminals)
     whole = path.groupBy("world").agg(F.count("*").alias("steps"), F.sum("live").alias("live"), F.round(F.sum(1 / F.col("rate")), 8).alias("mean_time"), F.bool_or("connects").alias("whole"))
     return whole.where("whole").drop("whole")
 
