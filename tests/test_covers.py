@@ -19,6 +19,17 @@ def test_same_as_on_arrays(spark):
     assert len(got) == len(down) and all(want[x.obs_id][x.edge_id] == x.state for x in got)
 
 
+def test_arrays_and_rounds_agree(spark, monkeypatch):
+    r = random.Random(6)
+    down = [(i, e, r.choice([2, 8])) for i in range(20) for e in range(15) if r.random() < 0.5]
+    near = spark.createDataFrame([(a, b) for a in range(12) for b in range(a + 1, 12) if r.random() < 0.3], "e1 int, e2 int")
+    rows = spark.createDataFrame(down, "obs_id int, edge_id int, state tinyint")
+    in_arrays = covers.ball_cover(rows, near)
+    monkeypatch.setattr(covers, "PAIRS", 1)
+    by_rounds = covers.ball_cover(rows, near)
+    assert in_arrays.dtypes == by_rounds.dtypes and sorted(in_arrays.collect()) == sorted(by_rounds.collect()) and in_arrays.count() == len(down)
+
+
 def test_nothing_down(spark):
     none = spark.createDataFrame([], "obs_id long, edge_id int, state tinyint")
     assert covers.ball_cover(none, spark.createDataFrame([(0, 1)], "e1 int, e2 int")).collect() == []
