@@ -104,26 +104,26 @@ def fixed_size_sample(units: DataFrame, unit: str, p: str, n: int, seed: int, *,
     polynomials = small.groupBy("part").applyInPandas(product, "part long, value array<double>")
     context = around(polynomials, lambda a, b: _times(a, b, marks), _start(n, marks).tolist())
 
-    def table(f: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    def table(f: pd.DataFrame, c: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
         f = f.sort_values(unit)
         q, w = f["_p"].to_numpy(), f["_w"].to_numpy()
-        return f, _tails(q, w, f["after"].iloc[0], n, marks), np.stack([q, w, f["_u"].to_numpy()], 1)
+        return f, _tails(q, w, c["after"].iloc[0], n, marks), np.stack([q, w, f["_u"].to_numpy()], 1)
 
-    def transitions(f: pd.DataFrame) -> pd.DataFrame:
-        f, tails, each = table(f)
+    def transitions(f: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        f, tails, each = table(f, c)
         state = np.arange(states)
         for i, (q, w, u) in enumerate(each.tolist()):
             state = _step(state, u, q, w, tails[i], tails[i + 1])
         return pd.DataFrame({"part": [f["part"].iloc[0]], "value": [state]})
 
-    known = small.join(context, "part")
-    maps = known.groupBy("part").applyInPandas(transitions, "part long, value array<long>")
+    # what lies around a part comes once a part, not once a unit
+    maps = small.groupBy("part").cogroup(context.groupBy("part")).applyInPandas(transitions, "part long, value array<long>")
     came = around(maps, lambda a, b: b[a], list(range(states))).select("part", F.col("before").alias("came"))
 
-    def chosen(f: pd.DataFrame) -> pd.DataFrame:
-        f, tails, each = table(f)
-        head = np.asarray(f["before"].iloc[0]).reshape(1 + marks, n + 1)
-        state = np.array([f["came"].iloc[0][n + marks * (n + 1)]])
+    def chosen(f: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        f, tails, each = table(f, c)
+        head = np.asarray(c["before"].iloc[0]).reshape(1 + marks, n + 1)
+        state = np.array([c["came"].iloc[0][n + marks * (n + 1)]])
         total = float(head[0] @ tails[0][marks, ::-1] + (head[1] @ tails[0][0, ::-1] if marks else 0.0))
         pi, taken = [], []
         for i, (q, w, u) in enumerate(each.tolist()):
@@ -138,7 +138,7 @@ def fixed_size_sample(units: DataFrame, unit: str, p: str, n: int, seed: int, *,
         return pd.DataFrame({"part": f["part"], unit: f[unit], "pi": pi, "taken": taken})
 
     kind = units.schema[unit].dataType.simpleString()
-    out = known.join(came, "part").groupBy("part").applyInPandas(chosen, f"part long, `{unit}` {kind}, pi double, taken boolean")
+    out = small.groupBy("part").cogroup(context.join(came, "part").groupBy("part")).applyInPandas(chosen, f"part long, `{unit}` {kind}, pi double, taken boolean")
     kept = [c for c in units.columns if c not in ("pi", "taken")]
     return parts.select("part", *kept).join(out, ["part", unit]).select(*kept, "pi", "taken")
 
