@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegraph.functions.states import FIXED_UP, has
-from tidegraph.plans.lineage import cut
+from tidegraph.plans.lineage import cut, kept
 from tidegraph.sources.graphs import Graph
 
 
 def component_labels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(v, component): smallest vertex that edges (src, dst) reach, for every vertex; by smallest-label propagation with shortcuts."""
     both = edges.select(F.col("src").alias("v"), F.col("dst").alias("u")).unionByName(edges.select(F.col("dst").alias("v"), F.col("src").alias("u"))).distinct()
-    state = cut(vertices.select("v", F.col("v").alias("component")))
+    state = kept(vertices.select("v", F.col("v").alias("component")))
     while True:
         near = both.join(state.select(F.col("v").alias("u"), F.col("component").alias("c")), "u").groupBy("v").agg(F.min("c").alias("c"))
         low = state.join(near, "v", "left").select("v", F.least("component", "c").alias("component"))
         jump = low.select(F.col("v").alias("component"), F.col("component").alias("root"))
-        after = cut(low.join(jump, "component").select("v", F.least("component", "root").alias("component")))
+        after = kept(low.join(jump, "component").select("v", F.least("component", "root").alias("component")))
         if after.join(state.withColumnRenamed("component", "was"), "v").where("component <> was").isEmpty():
             return after
         state = after
