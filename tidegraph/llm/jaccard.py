@@ -21,7 +21,8 @@
 
 Every link between different sets is found and counted; of the links only as many
 are given out as connect the classes, since a group of near copies has a link for
-each two of them.  Regions beyond ``REGION`` shingles are cut into cells by Spark
+each two of them.  Sides of joins that grow with the documents are not broadcast,
+since the driver builds what is broadcast and many are built at once.  Regions beyond ``REGION`` shingles are cut into cells by Spark
 and, where a cell stays large, into blocks that meet in pairs; no task holds more
 than two blocks.
 """
@@ -254,7 +255,7 @@ def _candidates(docs: DataFrame, rule: Rule, rounds: int = 2) -> DataFrame:
     total = rows.count()
     for _ in range(rounds):
         enough = rows.groupBy("node", "need").agg(F.count("*").alias("n")).where(F.col("n") >= F.col("need").bitwiseAND(F.lit(65535)))
-        rows = rows.join(enough.select("node", "need"), ["node", "need"], "left_semi")
+        rows = rows.join(enough.select("node", "need").hint("merge"), ["node", "need"], "left_semi")
         lead = rows.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z"), F.count("*").alias("_n")).where("b <> z")
         rows = cut(join_spread(rows, lead.drop("_n"), ["key"], total=total, share=lead.select("key", "_n")).select("key", "node", "need", "b"))
         pairs, rows = rows.select(F.col("node").alias("a"), "b"), rows.drop("b")
@@ -451,12 +452,12 @@ def _refined(rows: DataFrame, rule: Rule) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"g": np.repeat(c.column(0).to_numpy(), size), "node": np.repeat(c.column(1).to_numpy(), size), "n": np.repeat(c.column(2).to_numpy(), size), "s": np.concatenate(sets).view(np.int64)})
 
     each = rows.select("g", "node", "n", "text").mapInArrow(tidy(spread), "g long, node long, n long, s long")
-    often = each.groupBy("g", "s").agg(F.count("*").alias("df"))
+    often = each.groupBy("g", "s").agg(F.count("*").alias("df")).hint("merge")
     ranked = each.join(often, ["g", "s"]).groupBy("g", "node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order"))
     first = (F.col("n") - F.ceil(F.lit(rule.over) * F.col("n") / rule.under) + 1).cast("int")
     keys = ranked.select("g", "node", F.explode(F.slice("order", 1, first)).alias("x")).where("x.df > 1").select("g", "node", "x.s")
     lead = keys.groupBy("g", "s").agg(F.min("node").alias("b"))
-    return components(keys.join(lead, ["g", "s"]).select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("part"))
+    return components(keys.join(lead.hint("merge"), ["g", "s"]).select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("part"))
 
 
 def _large_regions(rows: DataFrame, rule: Rule, pivots: int, region: int) -> DataFrame:
@@ -515,20 +516,20 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region:
     sets = cut(_sets(docs, rule))
     groups = cut(components(_candidates(docs, rule)).select("node", F.col("component").alias("g")))
     classes = sets.where("node is not null").groupBy("node").agg(F.min(_first()).alias("first"), F.first("n").alias("n"), F.count("*").alias("docs"))
-    sized = cut(groups.join(classes, "node").select("g", "node", "n", "docs", "first.none", "first.doc", "first.tag"))
+    sized = cut(groups.join(classes.hint("merge"), "node").select("g", "node", "n", "docs", "first.none", "first.doc", "first.tag"))
     weight = cut(sized.groupBy("g").agg(F.sum("n").alias("size")))
     release(docs.sparkSession)
     members = join_spread(sized, weight.select("g", (F.col("size") > region).alias("large")), ["g"])
 
     # an id and a text that repeat are one row here
-    own = docs.alias("d").join(members.alias("m"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.docs", "m.large", "d.text")
+    own = docs.alias("d").join(members.alias("m").hint("shuffle_hash"), F.expr("d.doc <=> m.doc and d.tag <=> m.tag")).select("m.g", "m.node", "m.n", "m.docs", "m.large", "d.text")
     small = weight.where(F.col("size") > region).isEmpty()
     rows = own.dropDuplicates(["node"]) if small else cut(own.dropDuplicates(["node"]))
     whole = lambda df: df.select("g", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", "docs", F.lit(0).cast("long").alias("mask"), "text")
     one = whole(rows.where("not large"))
     if not small:
         wide = rows.where("large").drop("large")
-        wide = cut(wide.join(_refined(wide, rule), "node").drop("g").withColumnRenamed("part", "g"))
+        wide = cut(wide.join(_refined(wide, rule).hint("shuffle_hash"), "node").drop("g").withColumnRenamed("part", "g"))
         shares = wide.groupBy("g").agg(F.ceil(F.sum("n") / region).cast("int").alias("shares"))
         wide = cut(join_spread(wide, shares, ["g"]))
         one = one.unionByName(whole(wide.where("shares = 1")))
@@ -537,10 +538,10 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str, region:
     links = cut(_join_groups(one, rule))
     found = components(links.where("b is not null").select("a", "b"))
     counted = links.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
-    named = cut(found.join(classes.select("node", "first"), "node"))
+    named = cut(found.join(classes.select("node", "first").hint("merge"), "node"))
     smallest = named.groupBy("component").agg(F.min("first").alias("rep"))
     linked = join_spread(named, smallest, ["component"]).select("node", "rep")
-    of_class = classes.join(linked, "node", "left").join(counted, "node", "left").select("node", F.coalesce("rep", "first").alias("rep"), (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    of_class = classes.join(linked.hint("merge"), "node", "left").join(counted.hint("merge"), "node", "left").select("node", F.coalesce("rep", "first").alias("rep"), (F.col("docs") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     return join_spread(sets, of_class, ["node"], "left").select("doc", "tag", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("rep", _first()).alias("rep"))
 
 
@@ -562,4 +563,4 @@ def representatives(docs: DataFrame, rule: Rule, *, id_col: str = "doc_id", text
     kept = rows.where(F.col("rep").eqNullSafe(_first())).select(F.col("doc").alias(kept_doc), F.col("tag").alias(kept_tag)).distinct()
     tagged = docs.withColumns({doc: F.col(id_col).cast("long"), tag: F.xxhash64(F.col(text_col).cast("string"))})
     same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(tag) == F.col(kept_tag))
-    return tagged.join(kept, same, "left_semi").dropDuplicates([doc, tag]).select(*docs.columns)
+    return tagged.join(kept.hint("shuffle_hash"), same, "left_semi").dropDuplicates([doc, tag]).select(*docs.columns)

@@ -15,7 +15,8 @@ def join_spread(large: DataFrame, small: DataFrame, keys: list[str], how: str =
     """``large`` joined with ``small``, which has few rows a key; rows of a hot key go to many tasks.
 
     The hot keys of ``large``, fewer than 1 / HOT by their definition, are broadcast
-    as marks; ``small`` has its rows of those keys once a part.  ``large`` is read
+    as marks; ``small`` has its rows of those keys once a part and is never broadcast,
+    since it may grow with the input and the driver would have to build it.  ``large`` is read
     twice and should be written or checkpointed; ``total`` is its number of rows and
     ``share`` that of each key as ``_n``, if known.  Null keys match nothing and are
     spread too.
@@ -29,4 +30,4 @@ def join_spread(large: DataFrame, small: DataFrame, keys: list[str], how: str =
     left = large.join(hot, keys, "left").withColumn("_part", spread).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
     right = small.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
-    return left.join(right, [*keys, "_part"], how).drop("_part")
+    return left.join(right.hint("merge"), [*keys, "_part"], how).drop("_part")
