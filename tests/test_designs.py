@@ -123,3 +123,16 @@ def test_steps_draw_sampfords_design():
     odds = {s: math.prod(pi[i] / (1 - pi[i]) for i in s) * sum(1 - pi[i] for i in s) for s in itertools.combinations(range(4), n)}
     total = sum(odds.values())
     assert all(abs(hits.get(s, 0) / runs - o / total) < 0.015 for s, o in odds.items())
+
+
+def test_units_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def units(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(5000).selectExpr("id", "id % 97 + 1 as size").mapInArrow(units, "id long, size long")
+    got = sampling.threshold_sample(rows, "id", "size", 50, 3, part_rows=1 << 10).collect()
+    assert seen.value == 5000 and len(got) in (49, 50, 51)
