@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidegraph.operators import particles
+from tidegraph.operators import mincut, particles
 from tidegraph.sources.graphs import Graph
 
 G = Graph(5, ((0, 1), (0, 2), (1, 2), (1, 3), (2, 3), (2, 2), (3, 4), (2, 4)), (0, 3, 4))
@@ -66,6 +66,28 @@ def test_design_by_plain_arrays(spark):
         assert kept[w] == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()} and len(kept[w]) == n
 
 
+def test_a_states_minimum_cut_is_found_once_a_round_for_all_replicates(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "cuts")
+
+    def logged(labels, edges, terminals, split_size=mincut.split_size):
+        with open(path, "a") as f:
+            f.write(f"{len(edges)} {[int(x) for x in labels]}\n")
+        return split_size(labels, edges, terminals)
+
+    monkeypatch.setattr(particles, "split_size", logged)
+    got = particles.splitting(spark, G, 0.8, 3, 8000).collect()
+    with open(path) as f:
+        cuts = f.read().splitlines()
+    assert len(got) == 8000 and len(cuts) == len(set(cuts)) > len(G.edges)
+
+
+def test_a_round_deals_no_particles_over_the_tasks_anew(spark):
+    few = Graph(5, G.edges[:-1], G.terminals)  # seven edges, so that three rounds follow the last checkpoint
+    rounds = particles.splitting(spark, few, 0.8, 2, 500)
+    plan = rounds._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window ") >= 2 and plan.count("Exchange hashpartitioning(replicate") <= 2  # after the checkpoint, and of the sides of the last join
+
+
 def test_bad_arguments(spark):
     with pytest.raises(ValueError):
         particles.splitting(spark, G, 1.0, 3, 2)
