@@ -342,6 +342,36 @@ def test_windows_by_brute_force(spark, monkeypatch, k, m, held):
     assert substrings.deduplicate(frame(spark, [])).count() == 0
 
 
+def kept_rows(monkeypatch):
+    """What substrings keeps in the checkpoint folder, filled as it runs."""
+    kept, cut = [], substrings.cut
+    monkeypatch.setattr(substrings, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    return kept
+
+
+def test_buckets_follow_the_text_whatever_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_TEXT", 1 << 20)
+    kept = kept_rows(monkeypatch)
+    words = F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.substring(F.hex(F.xxhash64(F.col("doc_id") % 3900, i)), 3, 6))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.array_join(words, " ").alias("text"))
+    got = substrings.deduplicate(docs).agg(F.count("*"), F.sum("n_removed"), F.min("doc_id").alias("least")).first()
+    assert tuple(got) == (4000, 100 * 300, 0)
+    assert all(df.where("one is not null").isEmpty() for df in kept)  # no window on a row of its own, which takes several times its text
+
+
+def test_turns_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "BUCKET_TEXT", 2000)
+    monkeypatch.setattr(substrings, "TURN_BYTES", 1)
+    kept = kept_rows(monkeypatch)
+    r = random.Random(5)
+    rows = [(r.randrange(100), " ".join(r.choice("ab") for _ in range(r.randrange(120)))) for _ in range(120)]  # few minimisers, so some are beyond a bucket
+    rows += [(r.randrange(100, 200), " ".join(f"w{r.randrange(9)}" for _ in range(r.randrange(60)))) for _ in range(60)]
+    rows += ODD + [(300, rows[3][1]), (301, rows[3][1]), (302, rows[150][1])]
+    got = substrings.deduplicate(frame(spark, rows), batch_bytes=500)
+    assert sorted(map(tuple, got.collect()), key=str) == without_repeats(rows, 13)
+    assert len(kept) == 2 and any(not df.where("one is not null").isEmpty() for df in kept)
+
+
 # --- op6 --------------------------------------------------------------------------
 
 

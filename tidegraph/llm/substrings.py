@@ -4,19 +4,22 @@ A window is ``WINDOW`` consecutive words.  Its minimiser is the smallest hash of
 the ``MINIMISER``-word runs in it; consecutive windows that share one form a
 super-k-mer, which travels as one packed string to the minimiser's bucket.  Equal
 windows have equal minimisers and so meet in one bucket, where sorting finds the
-smallest document of each window.  Super-k-mers of one batch for one bucket are
-packed and compressed together; a batch sends each distinct super-k-mer only for
-its smallest document and settles the others itself, so a passage that very many
-documents repeat takes a row a batch.  The number of buckets follows the size of
-the input.  A bucket beyond what a task holds, because very many contexts share its
-minimiser, gives out its windows one by one, and these meet by their own hashes in a
-second shuffle, where each is settled as it streams by.
+smallest document of each window.  Super-k-mers of one batch for one partition,
+which is a group of buckets, are packed and compressed together; a batch sends each
+distinct super-k-mer only for its smallest document and settles the others itself, so
+a passage that very many documents repeat takes a row a batch.  The number of
+partitions follows the bytes of text, which are counted first, even where
+``spark.sql.shuffle.partitions`` is smaller.  Minimisers take turns, so that only a
+share of the packs lies on disk at a time.  A bucket beyond what a task holds, because very
+many contexts share its minimiser, gives out its windows one by one, and these meet
+by their own hashes in a second shuffle, where each is settled as it streams by.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import struct
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,14 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegraph.llm.lineage import bytes_of, cut, release
+from tidegraph.llm.lineage import cut, release
 from tidegraph.llm.textkit import Words, chunks, mix, tidy
 
 WINDOW, MINIMISER = 13, 3
-#: Buckets that a shuffle partition works through one by one, at least; bytes of input for a bucket; bytes of text of a bucket that a task holds.
-BUCKETS_EACH, BUCKET_BYTES, BUCKET_TEXT = 4, 4 << 20, 16 << 20
-#: Bytes of text that are packed together.
-BATCH_BYTES = 24 << 20
+#: Buckets of a partition; bytes of super-k-mers of a bucket that a task holds, four times the usual.
+BUCKETS, BUCKET_TEXT = 16, 16 << 20
+#: Turns that the minimisers take, and the bytes of text from which they do.
+TURNS, TURN_BYTES = 2, 64 << 20
+#: Bytes that a super-k-mer takes in a pack besides its text, and bytes of packs that are given out at once.
+NUMBERS, ROW_BYTES = 20, 4 << 20
+#: Bytes of text that are packed together, and the level of compression.
+BATCH_BYTES, LEVEL = 24 << 20, 5
 _U64 = np.uint64
 _LANES = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * _U64(2) + _U64(1)
 
@@ -117,13 +124,17 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
     import zstandard
 
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(partitions * BUCKETS_EACH, (bytes_of(docs) or 0) // BUCKET_BYTES)
     k = window
+    docs = docs.where("doc is not null and text is not null").select("doc", "tag", "text")
+    text_bytes = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    turns = TURNS if text_bytes >= TURN_BYTES else 1
+    # a super-k-mer has (k - m + 2) / 2 windows on average and repeats k - 1 words of its neighbour; its numbers count as three words more
+    raw = text_bytes * (1 + 2 * (k + 2) / (k - minimiser + 2)) / turns
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(raw / (BUCKETS * BUCKET_TEXT / 4)))
     empty = np.zeros(0, np.int64)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+    def pack(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         held: list[tuple] = []
         size = 0
 
@@ -131,7 +142,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
             nonlocal size
             if not held:
                 return
-            doc, tag, at, n, low, head, tail, start, end = (np.concatenate([x[c] for x in held]) for c in range(9))
+            doc, tag, at, n, own, head, tail, start, end = (np.concatenate([x[c] for x in held]) for c in range(9))
             shift = np.cumsum([0, *(len(x[9]) for x in held)])[:-1]
             of = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
             start, end = start + shift[of], end + shift[of]
@@ -146,30 +157,31 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
             late[order] = doc[order] > least
             settled = _intervals(doc[late], tag[late], at[late], n[late], k)
             if settled.num_rows:
-                bucket = (mix(settled.column(0).to_numpy().view(np.uint64)) % _U64(buckets)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *settled.columns, pa.nulls(settled.num_rows, pa.binary())], names=["bucket", "doc", "tag", "s", "e", "pack"])
+                to = (mix(settled.column(0).to_numpy().view(np.uint64)) % _U64(partitions)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(to), *settled.columns, pa.nulls(settled.num_rows, pa.binary())], names=["part", "doc", "tag", "s", "e", "pack"])
             send = np.flatnonzero(~late)
-            bucket = (mix(low[send]) % _U64(buckets)).astype(np.int32)
-            send = send[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket)
-            edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else empty
-            rows = []
-            for i, j in zip(edges, np.r_[edges[1:], len(bucket)]):
+            send = send[np.argsort(own[send], kind="stable")]
+            to, bucket = np.divmod(own[send], BUCKETS)
+            edges = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else empty
+            rows, taken = [], 0
+            for i, j in zip(edges, np.r_[edges[1:], len(to)]):
                 x = send[i:j]
                 length = end[x] - start[x]
                 pos = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
                 body = text[pos + np.repeat(start[x], length)]
-                raw = b"".join([struct.pack("<q", len(x)), _planes(doc[x]), *(_planes(c.astype(np.int32)) for c in (tag[x], at[x], length)), body.tobytes()])
-                rows.append((int(bucket[i]), squeeze.compress(raw)))
-                if len(rows) >= 64:
+                counts = np.bincount(bucket[i:j], minlength=BUCKETS).astype(np.int32)
+                blob = squeeze.compress(b"".join([counts.tobytes(), _planes(doc[x]), *(_planes(c.astype(np.int32)) for c in (tag[x], at[x], length)), body.tobytes()]))
+                rows.append((int(to[i]), blob))
+                taken += len(blob)
+                if taken >= ROW_BYTES:
                     yield packed(rows)
-                    rows = []
+                    rows, taken = [], 0
             if rows:
                 yield packed(rows)
 
         def packed(rows: list) -> pa.RecordBatch:
             none = pa.nulls(len(rows), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, none, none, pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "doc", "tag", "s", "e", "pack"])
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), none, none, none, none, pa.array([r[1] for r in rows], pa.binary())], names=["part", "doc", "tag", "s", "e", "pack"])
 
         for b in batches:
             ids, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -177,6 +189,9 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
                 w = Words(buf, offsets)
                 h = w.hashes()
                 first, n, low = super_kmers(w, h, k, minimiser)
+                low = mix(low)
+                now = low % _U64(turns) == turn
+                first, n, own = first[now], n[now], (low[now] // _U64(turns) % _U64(partitions * BUCKETS)).astype(np.int64)
                 if not len(first):
                     continue
                 all_hashes, at = window_hashes(w, h, k, 0)
@@ -184,7 +199,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
                 tail = all_hashes[np.searchsorted(at, first + n - 1)]
                 text, start, end = _compact(w)
                 d = np.searchsorted(w.first, first, "right") - 1
-                held.append((ids[i:j][d], tags[i:j][d], first - w.first[d], n, low, head, tail, start[first], end[first + n + k - 2], text))
+                held.append((ids[i:j][d], tags[i:j][d], first - w.first[d], n, own, head, tail, start[first], end[first + n + k - 2], text))
                 size += len(text)
                 if size >= batch_bytes:
                     yield from flush()
@@ -192,15 +207,23 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
 
     names = ["doc", "tag", "s", "e", "one", "two"]
 
-    def windows(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    def unpacked(raw: bytes) -> Iterator[tuple[int, tuple[np.ndarray, ...], int]]:
+        """Bucket, super-k-mers (document, tag, first word, length, text) and their bytes, of each bucket that a pack has some of; copies, so that none holds the others."""
+        counts = np.frombuffer(raw, np.int32, BUCKETS)
+        n, at = int(counts.sum()), 4 * BUCKETS
+        columns = [_from_planes(raw, np.int64, n, at), *(_from_planes(raw, np.int32, n, at + 8 * n + 4 * n * c) for c in range(3))]
+        text = np.frombuffer(raw, np.uint8, offset=at + NUMBERS * n)
+        edges = np.r_[0, np.cumsum(counts)]
+        places = np.r_[0, np.cumsum(columns[3], dtype=np.int64)][edges]
+        for c in np.flatnonzero(counts):
+            i, j, a, b = *edges[c : c + 2], *places[c : c + 2]
+            yield int(c), (*(x[i:j].copy() for x in columns), text[a:b].copy()), int(b - a + NUMBERS * (j - i))
+
+    def windows(parts: list[tuple]) -> tuple[np.ndarray, ...]:
         """Two hashes, document, tag and first word of each window of unpacked super-k-mers."""
-        parts = []
-        for raw in raws:
-            (n,) = struct.unpack_from("<q", raw)
-            numbers = [_from_planes(raw, np.int32, n, 8 + 8 * n + 4 * n * c).astype(np.int64) for c in range(3)]
-            parts.append((_from_planes(raw, np.int64, n, 8), *numbers, np.frombuffer(raw, np.uint8, offset=8 + 20 * n)))
         doc, tag, at, length, text = (np.concatenate([p[c] for p in parts]) for c in range(5))
-        w = Words(text, np.r_[0, np.cumsum(length)])
+        tag, at = tag.astype(np.int64), at.astype(np.int64)
+        w = Words(text, np.r_[0, np.cumsum(length, dtype=np.int64)])
         h = w.hashes()
         one, place = window_hashes(w, h, k, 0)
         two, _ = window_hashes(w, h, k, 1)
@@ -212,8 +235,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
         none = pa.nulls(out.num_rows, pa.int64())
         return pa.RecordBatch.from_arrays([*out.columns, none, none], names=names)
 
-    def solve(raws: list[bytes]) -> pa.RecordBatch:
-        one, two, owner, tag, at = windows(raws)
+    def solve(parts: list[tuple]) -> pa.RecordBatch:
+        one, two, owner, tag, at = windows(parts)
         order = np.lexsort((owner, two, one))
         same = np.r_[False, (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])]
         least = owner[order][np.flatnonzero(~same)][np.cumsum(~same) - 1]
@@ -222,31 +245,30 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
         x = np.flatnonzero(late)
         return spans(owner[x], tag[x], at[x])
 
-    def loose(raws: list[bytes]) -> pa.RecordBatch:
-        one, two, owner, tag, at = windows(raws)
+    def loose(parts: list[tuple]) -> pa.RecordBatch:
+        one, two, owner, tag, at = windows(parts)
         return pa.RecordBatch.from_arrays([pa.array(owner), pa.array(tag), pa.array(at), pa.nulls(len(at), pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
-        now, raws, size, whole = None, [], 0, True
+        held, size, whole = [[] for _ in range(BUCKETS)], [0] * BUCKETS, [True] * BUCKETS
+
         for b in batches:
             settled = b.filter(b.column(1).is_valid())
             if settled.num_rows:
                 none = pa.nulls(settled.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*settled.columns[1:5], none, none], names=names)
-            rest = b.filter(b.column(5).is_valid())
-            for bucket, blob in zip(rest.column(0).to_pylist(), rest.column(5)):
-                if bucket != now:
-                    if raws:
-                        yield solve(raws) if whole else loose(raws)
-                    now, raws, size, whole = bucket, [], 0, True
-                raws.append(expand.decompress(blob.as_py()))
-                size += len(raws[-1])
-                if size > BUCKET_TEXT:
-                    yield loose(raws)
-                    raws, size, whole = [], 0, False
-        if raws:
-            yield solve(raws) if whole else loose(raws)
+            for blob in b.column(5).drop_null():
+                for c, part, many in unpacked(expand.decompress(blob.as_py())):
+                    held[c].append(part)
+                    size[c] += many
+                    if size[c] > BUCKET_TEXT:
+                        yield loose(held[c])
+                        held[c], size[c], whole[c] = [], 0, False
+        for c in range(BUCKETS):
+            if held[c]:
+                yield solve(held[c]) if whole[c] else loose(held[c])
+                held[c] = []
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows sorted by hashes and document: those behind the first document of theirs."""
@@ -265,15 +287,22 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, minimiser: int = MI
             if late.any():
                 yield _intervals(doc[late], tag[late], at[late], np.ones(int(late.sum()), np.int64), k)
 
-    rows = docs.where("doc is not null and text is not null").select("doc", "tag", "text").mapInArrow(tidy(pack), "bucket int, doc long, tag long, s long, e long, pack binary")
-    met = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "doc long, tag long, s long, e long, one long, two long")
-    met = cut(met)
-    found = met.where("one is null").select("doc", "tag", "s", "e")
-    left = met.where("one is not null").select("doc", "tag", "s", "one", "two")
-    if left.isEmpty():
-        return found
-    late = left.repartition("one", "two").sortWithinPartitions("one", "two", "doc").mapInArrow(tidy(settle), "doc long, tag long, s long, e long")
-    return found.unionByName(late)
+    def take(turn: int) -> DataFrame:
+        """The spans of the minimisers of a turn."""
+        rows = docs.mapInArrow(tidy(lambda batches: pack(batches, turn)), "part int, doc long, tag long, s long, e long, pack binary")
+        met = cut(rows.repartitionById(partitions, "part").mapInArrow(tidy(meet), "doc long, tag long, s long, e long, one long, two long"))
+        found = met.where("one is null").select("doc", "tag", "s", "e")
+        left = met.where("one is not null").select("doc", "tag", "s", "one", "two")
+        if left.isEmpty():
+            return found
+        late = left.repartition("one", "two").sortWithinPartitions("one", "two", "doc").mapInArrow(tidy(settle), "doc long, tag long, s long, e long")
+        return found.unionByName(late)
+
+    spans_of_turns = []
+    for turn in range(turns):
+        spans_of_turns.append(take(turn))
+        release(spark)  # the packed super-k-mers
+    return functools.reduce(DataFrame.unionByName, spans_of_turns)
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, minimiser: int = MINIMISER, with_text: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
@@ -288,7 +317,6 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("needs 1 <= minimiser <= window <= 256")
     part = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)))
     spans = repeated_spans(part, window=window, minimiser=minimiser, batch_bytes=batch_bytes)
-    release(docs.sparkSession)  # the packed super-k-mers
     # twice the same span can come from two batches
     lists = spans.groupBy("doc", "tag").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
